@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .work import components, dropped, keeping, written
+from .linking import linked_groups
+from .work import dropped, keeping, written
 
 U = np.uint64
 BUCKETS, ZERO_BITS, MANTISSA_BITS = 128, 6, 10
@@ -146,6 +147,18 @@ def _as_sets(n: int):
     return run
 
 
+def _as_items(n: int):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
+            for i, j in flat.slices(texts, BYTES_AT_ONCE):
+                owner, h = shingle_sets(texts[i:j], n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][owner], pa.int64()), pa.array(h.view(np.int64)), pa.array(np.bincount(owner, minlength=j - i)[owner], pa.int64())], ["id", "item", "n"])
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches):
         for batch in batches:
@@ -162,36 +175,6 @@ def _verified(percent: int):
     return run
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket (key, id) but not a component (id, component); pairs inside one are never made."""
-    label = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    label = written(label.join(mixed, "key", "left_semi"))
-    parts = label.select("key", "c").distinct()
-    two = parts.join(parts.withColumnRenamed("c", "d"), "key").where("c < d")
-    pairs = two.join(label.withColumnRenamed("id", "x"), ["key", "c"]).join(label.select("key", F.col("id").alias("y"), F.col("c").alias("d")), ["key", "d"])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def linked_groups(buckets: DataFrame, confirm) -> DataFrame:
-    """(id, component) over the links that ``confirm`` finds among candidates that share a bucket (key, id).
-
-    First every member of a bucket is held against the bucket's smallest id, then only members of different components against
-    each other. Pairs inside a component cannot change it, so a group of copies costs its size, not its square, and no
-    candidate that could join two components is left out.
-    """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    several = written(buckets.join(heads, "key"))
-    star = written(several.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    links = written(confirm(star))
-    labels = components(links)
-    pairs = cross_pairs(several.select("key", "id"), labels).join(star, ["a", "b"], "left_anti")
-    more = written(confirm(written(pairs)))
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups of whole texts: doc_id, n_shingles, component_id, kept.
 
@@ -223,7 +206,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         dropped(sets, likely, ends)
         return sure
 
-    labels = linked_groups(buckets, confirm)
+    def items(ids: DataFrame, count: int) -> DataFrame:
+        return keeping(texts.withColumnRenamed("doc_id", "id"), ids, "id", count).dropDuplicates(["id"]).mapInArrow(_as_items(words), "id long, item long, n long")
+
+    labels = linked_groups(buckets, confirm, items, percent)
     group = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone_rows = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return group.unionByName(alone_rows).withColumn("kept", F.col("doc_id") == F.col("component_id"))
