@@ -26,8 +26,8 @@ BYTES_AT_ONCE = 8_000_000
 def paragraphs(texts: list[bytes]):
     """Words and paragraphs of texts: word hashes, and for each paragraph its first word, number of words, text and bytes.
 
-    A paragraph ends at a line's end, after a word that ends in . ! or ?, and before a capital if the four words before begin small; so
-    a passage set into another text keeps its paragraphs. Words are compared by their lowered letters and digits; others are no words."""
+    A paragraph ends at a line's end, and before a word with a capital or after a . ! or ? unless one of the four words before it in the line is
+    such a word too; so a passage set into another text keeps its paragraphs, and shouted or titled words do not fall apart. Words are compared by their lowered letters and digits; others are no words."""
     buf, at = flat.joined(texts)
     low = flat.lowered(buf)
     starts, ends = flat.bounds(~flat.SPACE[buf])
@@ -36,19 +36,19 @@ def paragraphs(texts: list[bytes]):
     real = full[ends] > full[starts]
     lines = np.concatenate([[0], np.cumsum(buf == 10)])
     stop = np.isin(buf[ends - 1], (0x2E, 0x21, 0x3F)) if len(ends) else np.zeros(0, bool)
-    broke = np.concatenate([[True], (lines[starts[1:]] > lines[starts[:-1]]) | stop[:-1]]) if len(starts) else np.zeros(0, bool)
-    group = np.cumsum(broke)[real]  # a paragraph may lose its symbols-only words
+    lead = np.concatenate([[True], lines[starts[1:]] > lines[starts[:-1]]]) if len(starts) else stop
+    group, after = np.cumsum(lead)[real], np.concatenate([[False], stop[:-1]])[real] if len(stop) else stop
     starts, ends = starts[real], ends[real]
-    packed = np.concatenate([[0], np.cumsum(alnum)])
-    words = flat.hashes(low[alnum], packed[starts], packed[ends])
+    words = flat.hashes(low[alnum], full[starts], full[ends])
     doc = np.searchsorted(at, starts, "right") - 1
-    first = buf[starts] if len(starts) else np.zeros(0, np.uint8)
-    nxt = buf[np.minimum(starts + 1, len(buf) - 1)]
-    cap = ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E))
-    near = np.zeros(len(cap), bool)
+    first, second = buf[starts], buf[np.minimum(starts + 1, len(buf) - 1)]
+    mark = after | ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    near = np.zeros(len(mark), bool)
     for k in range(1, 5):
-        near[k:] |= cap[:-k]
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])]) | (cap & ~near) if len(cap) else np.zeros(0, bool)
+        near[k:] |= mark[:-k] & (group[k:] == group[:-k]) & (doc[k:] == doc[:-k])
+    new = mark & ~near
+    new[1:] |= (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])
+    new[:1] = True
     head = np.flatnonzero(new)
     size = np.diff(np.concatenate([head, [len(words)]]))
     last = head + size - 1
