@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, minhash, mixing, toxicity
+from . import covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -34,8 +34,45 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _is(kind: str):
+    return lambda x: F.when(x == kind, 1).otherwise(0)
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.with_surrogates(table(spark, sf_dir, "documents"))
+    kinds = F.transform("entities", lambda e: e["kind"])
+    counts = [F.size(F.array_remove(F.transform(kinds, _is(k)), F.lit(0))).cast("long").alias(f"n_{k}") for k in surrogates.KINDS]
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source: path source/lang/doc_id."""
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan_licenses(files).withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_near_dedup, op3_minhash_near_dedup, op6_source_mixing, op7_toxicity_crf)}
+    every = (
+        op1_benchmark_decontamination, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_substring_dedup, op5_line_dedup,
+        op6_source_mixing, op7_toxicity_crf, op8_suffix_array_dedup, op9_pii_surrogates, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP2_SQL = """
