@@ -51,15 +51,31 @@ class CheckIns:
 
 
 def check_ins(rows: DataFrame) -> DataFrame:
-    """Batch: (user_id, k) series folded in order of time; user_id, k, intervals, mean_gap, missed, score."""
+    """Batch: (user_id, k) series folded in order of time; user_id, k, intervals, mean_gap, missed, score.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = CheckIns()
-        for t in pdf.sort_values(["t", "event_id"])["t"]:
-            c.add(float(t))
-        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "k": [pdf["k"].iloc[0]], "intervals": [c.n], "mean_gap": [round(c.mean, 4)], "missed": [c.missed], "score": [round(c.score(), 6)]})
+    One shuffle and sort bring each series together; a partition is then folded batch by batch with one small state, so
+    neither the number of series nor the length of one needs a table of its own in memory.
+    """
 
-    return rows.where("k IS NOT NULL AND user_id IS NOT NULL").select("user_id", "k", "t", "event_id").groupBy("user_id", "k").applyInPandas(fold, "user_id long, k int, intervals long, mean_gap double, missed long, score double")
+    def result(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["user_id", "k", "intervals", "mean_gap", "missed", "score"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, c, done = None, CheckIns(), []
+        for pdf in batches:
+            for user, k, t in zip(pdf["user_id"].tolist(), pdf["k"].tolist(), pdf["t"].tolist(), strict=True):
+                if (user, k) != at:
+                    if at is not None:
+                        done.append((*at, c.n, round(c.mean, 4), c.missed, round(c.score(), 6)))
+                    at, c = (user, k), CheckIns()
+                c.add(t)
+            yield result(done)
+            done = []
+        if at is not None:
+            yield result([(*at, c.n, round(c.mean, 4), c.missed, round(c.score(), 6))])
+
+    series = rows.where("k IS NOT NULL AND user_id IS NOT NULL").select("user_id", "k", "t", "event_id")
+    return series.repartition("user_id", "k").sortWithinPartitions("user_id", "k", "t", "event_id").mapInPandas(fold, "user_id long, k int, intervals long, mean_gap double, missed long, score double")
 
 
 def check_ins_stream(stream: DataFrame) -> DataFrame:
