@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from .work import components, dropped, written
 
+#: Pivot rounds go on while one joins at least this share of the components that share a bucket with others.
+PROGRESS = 0.05
+#: Words of 64 bits in a parity sketch.
+SKETCH = 4
+
 
 def prefix_pairs(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may reach the similarity, by prefix, length and position bounds; none is missed.
@@ -16,20 +21,28 @@ def prefix_pairs(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     100 * both >= percent * union share an item among the first n - ceil(percent n) + 1 of x and the first
     n - ceil(2 percent / (1 + percent) n) + 1 of y, and at their first shared item enough must be left of either to reach the overlap.
     Members of one component are never paired. Edited copies put what they alone hold first, so they share few prefix items.
+    A sketch holds the parity of the number of items in each of 64 * SKETCH buckets: where two sketches differ, an item is in one set alone,
+    so the bits that differ bound the symmetric difference from below, and a pair beyond what the similarity allows is no candidate.
     """
     rows = items.join(items.groupBy("item").agg(F.count("*").alias("df")), "item")
     at = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     p = F.lit(percent)
     probe = F.col("n") - F.ceil(p * F.col("n") / 100) + 1
     index = F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p)) + 1
+    spot = F.xxhash64("item")
+    for k in range(SKETCH):
+        bit = F.when(F.pmod(F.shiftright(spot, 6), F.lit(SKETCH)) == k, F.expr("shiftleft(1L, int(xxhash64(item) & 63))")).otherwise(F.lit(0).cast("long"))
+        rows = rows.withColumn(f"s{k}", F.bit_xor(bit).over(W.partitionBy("id")))
     rows = written(rows.withColumn("at", at).where(F.col("at") <= probe).withColumn("indexed", F.col("at") <= index).drop("df").join(labels, "id"))
-    x = rows.select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("c").alias("cx"))
-    y = rows.where("indexed").select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("c").alias("cy"))
+    x = rows.select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("c").alias("cx"), *[F.col(f"s{k}").alias(f"sx{k}") for k in range(SKETCH)])
+    y = rows.where("indexed").select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("c").alias("cy"), *[F.col(f"s{k}").alias(f"sy{k}") for k in range(SKETCH)])
     parts = x.select("item", "cx").distinct().join(y.select("item", "cy").distinct(), "item").where("cx <> cy")
     left = F.lit(1) + F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))
+    apart = sum((F.bit_count(F.col(f"sx{k}").bitwiseXOR(F.col(f"sy{k}"))) for k in range(SKETCH)), F.lit(0))
     fits = (
         ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
         & (100 * F.col("ny") >= percent * F.col("nx")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny")))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("nx") + F.col("ny")))
     )
     pairs = written(parts.join(x, ["item", "cx"]).join(y, ["item", "cy"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     dropped(rows)
@@ -39,23 +52,35 @@ def prefix_pairs(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame:
     """(id, component) over the links that ``confirm`` finds among candidates that share a bucket (key, id).
 
-    First every member of a bucket is held against the bucket's smallest id. Then, where a bucket still holds several components,
-    their members' items (from ``items(ids, count)``) give the pairs of different components that can still be linked. Pairs inside
-    a component cannot change it, so a group of copies costs its size, not its square, and no link that could join two components is lost.
+    First every member of a bucket is held against the bucket's smallest id. Where a bucket then still holds several components, pivot rounds
+    hold the members of its other components against one drawn member, as long as that joins components. What is left is paired
+    by the members' items (from ``items(ids, count)``): the pairs of different components that can still be linked. Pairs inside a component
+    cannot change it, so a group of copies costs its size, not its square, and no link that could join two components is lost.
     """
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     several = written(buckets.join(heads, "key"))
-    star = written(several.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirm(star)
-    labels = written(components(links))
-    label = several.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    label = written(label)
-    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = written(label.join(mixed, "key", "left_semi").select("id", "c").distinct())
-    count = left.count()
-    dropped(several, label)
-    if not count:
-        return labels
-    pairs = prefix_pairs(written(items(left.select("id"), count)), left, percent).join(star, ["a", "b"], "left_anti")
-    more = confirm(written(pairs))
-    return components(links.unionByName(more))
+    tried = written(several.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    links = confirm(tried)
+    before, turn = None, 0
+    while True:
+        labels = written(components(links))
+        label = several.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        label = written(label)
+        mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        open_ = written(label.join(mixed, "key", "left_semi"))
+        dropped(label)
+        left = written(open_.select("id", "c").distinct())
+        parts = left.select("c").distinct().count()
+        if not parts:
+            return labels
+        if before is not None and parts > before * (1 - PROGRESS):
+            break
+        before, turn = parts, turn + 1
+        pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
+        pairs = open_.join(pivots, "key").where("c <> pivot.c").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = written(tried.unionByName(pairs))
+        links = links.unionByName(confirm(pairs))
+        dropped(open_, pairs)
+    pairs = prefix_pairs(written(items(left.select("id"), left.count())), left, percent).join(tried, ["a", "b"], "left_anti")
+    return components(links.unionByName(confirm(written(pairs))))
