@@ -69,6 +69,11 @@ def ip_class(n: Column) -> Column:
     return out.when(within(0xA9FE0000, 16), "link-local").when(within(0xE0000000, 4), "multicast").otherwise("public")
 
 
+def locally_administered(mac: Column) -> Column:
+    """Whether the second bit of the first byte is set in a hardware address written in hexadecimal."""
+    return F.conv(F.substring(mac, 1, 2), 16, 10).cast("int").bitwiseAND(2) != 0
+
+
 def parents(host: Column) -> Column:
     """The name and its parents down to two labels, longest first."""
     labels = F.split(host, r"\.")
