@@ -78,19 +78,22 @@ def check_ins(rows: DataFrame) -> DataFrame:
     return series.repartition("user_id", "k").sortWithinPartitions("user_id", "k", "t", "event_id").mapInPandas(fold, "user_id long, k int, intervals long, mean_gap double, missed long, score double")
 
 
-def check_ins_stream(stream: DataFrame) -> DataFrame:
-    """The same fold over a stream (user_id, k, t), with state for each pair that ends after 30 minutes of processing time without rows."""
+def check_ins_stream(stream: DataFrame, late: str = "10 minutes", silence: int = 30 * 60) -> DataFrame:
+    """The same fold over a stream (user_id, k, ts, t), with state for each pair that ends once the watermark is ``silence`` seconds past its last row.
+
+    Rows behind the watermark are left out. Event time ends the state, so a stream that is read to its end stops by itself.
+    """
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         c = CheckIns(*state.get) if state.exists else CheckIns()
-        for pdf in batches:
-            for t in pdf["t"].sort_values():
-                c.add(float(t))
+        for t in sorted(t for pdf in batches for t in pdf["t"].tolist()):
+            c.add(t)
         state.update((c.last, c.n, c.mean, c.m2, c.missed))
-        state.setTimeoutDuration(30 * 60 * 1000)
+        state.setTimeoutTimestamp(max(int((c.last + silence) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "k": [key[1]], "intervals": [c.n], "score": [round(c.score(), 6)]})
 
-    return stream.groupBy("user_id", "k").applyInPandasWithState(fold, "user_id long, k int, intervals long, score double", "last double, n long, mean double, m2 double, missed long", "update", "ProcessingTimeTimeout")
+    rows = stream.where("k IS NOT NULL AND user_id IS NOT NULL AND t IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("user_id", "k").applyInPandasWithState(fold, "user_id long, k int, intervals long, score double", "last double, n long, mean double, m2 double, missed long", "update", "EventTimeTimeout")

@@ -40,7 +40,6 @@ def test_repeats(spark, events, tmp_path):
     assert rows(got.select("user_id", "k")) == rows(events.select("user_id", "k").distinct())
 
 
-@pytest.mark.skip(reason="open: the stateful stream did not end within 90 s on the build machine; cause not found yet")
 def test_check_ins_stream_equals_batch(spark, events, tmp_path):
     got = streamed(spark, events, tmp_path, windows.check_ins_stream, "update")
     assert rows(got.select("user_id", "k", "intervals", "score")) == rows(windows.check_ins(events).select("user_id", "k", "intervals", "score"))
