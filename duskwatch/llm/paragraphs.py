@@ -27,7 +27,7 @@ def paragraphs(texts: list[bytes]):
     """Words and paragraphs of texts: word hashes, and for each paragraph its first word, number of words, text and bytes.
 
     A paragraph ends at a line's end, and before a word with a capital or after a . ! or ? unless one of the four words before it in the line is
-    such a word too; so a passage set into another text keeps its paragraphs, and shouted or titled words do not fall apart. Words are compared by their lowered letters and digits; others are no words."""
+    such a word too (a line's first word is after none); so a passage set into another text keeps its paragraphs, and shouted or titled words do not fall apart. Words are compared by their lowered letters and digits; others are no words."""
     buf, at = flat.joined(texts)
     low = flat.lowered(buf)
     starts, ends = flat.bounds(~flat.SPACE[buf])
@@ -37,7 +37,7 @@ def paragraphs(texts: list[bytes]):
     lines = np.concatenate([[0], np.cumsum(buf == 10)])
     stop = np.isin(buf[ends - 1], (0x2E, 0x21, 0x3F)) if len(ends) else np.zeros(0, bool)
     lead = np.concatenate([[True], lines[starts[1:]] > lines[starts[:-1]]]) if len(starts) else stop
-    group, after = np.cumsum(lead)[real], np.concatenate([[False], stop[:-1]])[real] if len(stop) else stop
+    group, after = np.cumsum(lead)[real], (np.concatenate([[False], stop[:-1]]) & ~lead)[real] if len(stop) else stop
     starts, ends = starts[real], ends[real]
     words = flat.hashes(low[alnum], full[starts], full[ends])
     doc = np.searchsorted(at, starts, "right") - 1

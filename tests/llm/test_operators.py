@@ -294,3 +294,13 @@ def test_nulls_repeated_rows_and_clashing_columns(spark, name):
 
 def test_empty_embeddings(spark):
     assert covertree.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_paragraphs_do_not_depend_on_the_texts_beside_them():
+    texts = [b"One two three four. Five six seven.", b"eight Nine ten eleven Twelve thirteen. Fourteen\nfifteen Sixteen!", b"", b"seventeen Eighteen nineteen. Twenty"]
+    _, doc, head, size, start, end = paragraphs.paragraphs(texts)
+    doc = doc[head]
+    for i, text in enumerate(texts):
+        alone = paragraphs.paragraphs([text])
+        for together, one in zip((size, start, end), alone[3:], strict=True):
+            assert together[doc == i].tolist() == one.tolist()
