@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import BROADCAST_ROWS, written
 
 #: Forms by which the licences are declared; a licence may have several.
 TEMPLATES = [
@@ -24,7 +24,7 @@ TEMPLATES = [
 ]
 #: A line is a header if it says one of these words.
 HEADER = r"(?i)licen[sc]e|copyright|permission is hereby granted|redistribution and use|creative commons"
-LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)(?:\.[a-z]+)?$"
+LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)(?:-\d+)?(?:\.[a-z]+)?$"
 
 
 def tokens(line: Column) -> Column:
@@ -54,6 +54,12 @@ def header_licences(spark: SparkSession, lines: DataFrame, least: float) -> Data
     return kinds.join(best, "k").select("line", "license", "score")
 
 
+def mainly_licence(text: Column) -> Column:
+    """Whether header lines make up half of the text or more."""
+    heads = F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER))
+    return text.rlike(HEADER) & (2 * F.length(F.array_join(heads, "")) >= F.length(text))
+
+
 def scan_licenses(files: DataFrame, least: float = 0.5, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Licences of files: path, license, score, origin, from_path.
 
@@ -77,10 +83,11 @@ def scan_licenses(files: DataFrame, least: float = 0.5, path_col: str = "path",
     dirs = written(dirs)
     origin = F.when(F.col("path").rlike(LICENCE_FILE), "licence file").otherwise("header")
     out = own.select("path", "license", "score", origin.alias("origin"), F.col("path").alias("from_path"))
-    if dirs.isEmpty():
+    count = dirs.count()
+    if not count:
         return out
     bare = every.select("path").where("path IS NOT NULL").distinct().join(own.select("path"), "path", "left_anti")
     parts = F.split(folder, "/")
     above = bare.withColumn("parts", parts).select("path", F.explode(F.expr("transform(sequence(0, size(parts)), k -> named_struct('depth', k, 'dir', array_join(slice(parts, 1, k), '/')))")).alias("a"))
-    near = above.select("path", "a.depth", "a.dir").join(dirs, "dir").groupBy("path").agg(F.max_by(F.struct("license", "score", "dir"), "depth").alias("x"))
+    near = above.select("path", "a.depth", "a.dir").join(F.broadcast(dirs) if count <= BROADCAST_ROWS else dirs, "dir").groupBy("path").agg(F.max_by(F.struct("license", "score", "dir"), "depth").alias("x"))
     return out.unionByName(near.select("path", "x.license", "x.score", F.lit("inherited").alias("origin"), F.col("x.dir").alias("from_path")))

@@ -62,9 +62,10 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source: path source/lang/doc_id."""
-    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return licenses.scan_licenses(files).withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
+    """Documents as files of their source: path source/lang/doc_id, or source/lang/LICENSE-doc_id for those that consist mainly of licence text."""
+    name = F.concat(F.when(licenses.mainly_licence(F.col("text")), "LICENSE-").otherwise(""), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", name).alias("path"), "text")
+    return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_replace(F.substring_index("path", "/", -1), "^LICENSE-", "").cast("long"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -265,6 +265,24 @@ def test_licences_and_inheritance(spark):
     }
 
 
+def test_licence_query_inherits_in_the_standard_tables(spark):
+    """Every document beside or below one that is mainly licence text has that licence if it has none of its own."""
+    got = {r["doc_id"]: r for r in queries.op10_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    files = {}
+    for d in docs:
+        lines = [x for x in (d["text"] or "").split("\n") if re.search(licenses.HEADER, x)]
+        if lines and 2 * sum(map(len, lines)) >= len(d["text"]) and d["doc_id"] in got:
+            files.setdefault((d["source"], d["lang"]), []).append(d["doc_id"])
+    assert files and all(got[i]["origin"] == "licence file" for f in files.values() for i in f)
+    for d in docs:
+        r = got.get(d["doc_id"])
+        if r is None or r["origin"] == "inherited":
+            near = files.get((d["source"], d["lang"]))
+            want = min(((-got[i]["score"], got[i]["license"]) for i in near), default=None) if near else None
+            assert want == (r and (-r["score"], r["license"]))
+
+
 OPERATORS = {
     "contaminated": lambda s, d: decontamination.contaminated(d, s.createDataFrame([(1, "an item long enough to be looked for at all")], "item_id long, text string")),
     "near_duplicates": lambda s, d: minhash.near_duplicates(d), "repeated_paragraphs": lambda s, d: paragraphs.repeated_paragraphs(d), "duplicate_lines": lambda s, d: lines.duplicate_lines(d),
