@@ -125,6 +125,23 @@ def test_lines_equal_all_pairs(spark):
     assert got == brute.near_lines(docs, 80)
 
 
+def test_lines_find_edited_copies(spark):
+    """Copies with one letter replaced, of 3 to 19 words: those whose overlapping five-character shingles reach 0.8 are linked, few are missed."""
+    rng = random.Random(16)
+    docs, want = [], {}
+    for i in range(300):
+        line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3 + i % 17))
+        at = rng.randrange(len(line))
+        copy = line[:at] + "0" + line[at + 1 :]
+        one, two = ({x[k : k + 5] for k in range(len(x) - 4)} for x in (line, copy))
+        docs += [(2 * i, line), (2 * i + 1, copy)]
+        if len(one & two) >= 0.8 * len(one | two):
+            want[2 * i + 1] = 3 + i % 17
+    got = {r["doc_id"]: r["component_id"] for r in lines.duplicate_lines(frame(spark, docs)).collect()}
+    assert min(want.values()) < 8 and all(i in want or i + 1 in want for i in got)
+    assert sum(got.get(i) == i - 1 for i in want) >= 0.98 * len(want)
+
+
 def test_texts_without_repeated_lines(spark):
     docs = [(1, "a first line here\nsame line of text"), (2, "same line of text"), (3, "same line of text\n\nanother one"), (4, None), (5, "")]
     got = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(frame(spark, docs)).collect()}
