@@ -282,6 +282,18 @@ def test_licences_and_inheritance(spark):
     }
 
 
+def test_licence_versions_and_whole_texts(spark):
+    bsd = "Copyright (c) 2020 Jo\n\n" + licenses._BSD.replace("2. Redis", "\n\n2. Redis") + "\n\n"
+    files = {
+        "gpl2": ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), "sa3": ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), "sa1": ("Licensed under CC BY-SA 1.0.", None),
+        "broken": ("# This work is licensed\n# under the GNU General Public\n# License, version 3.\n\ncode", "GPL-3.0"), "bsd2": (bsd + licenses._WARRANTY, "BSD-2-Clause"),
+        "bsd3": (bsd + licenses._ENDORSE + "\n\n" + licenses._WARRANTY, "BSD-3-Clause"), "isc": (next(x for n, x in licenses.TEMPLATES if n == "ISC"), "ISC"),
+        "spdx": ("// SPDX-License-Identifier: MIT\nx", "MIT"), "later": ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), "unknown": ("SPDX-License-Identifier: Zlib", None),
+    }
+    got = {r["path"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")).collect()}
+    assert got == {p: n for p, (_, n) in files.items() if n}
+
+
 def test_licence_query_inherits_in_the_standard_tables(spark):
     """Every document beside or below one that is mainly licence text has that licence if it has none of its own."""
     got = {r["doc_id"]: r for r in queries.op10_license_scan(spark, "/root/testdata/sf0.01").collect()}
