@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+BYTES_AT_ONCE = 1_000_000
 #: Odd multiplier of the polynomial hash, its inverse mod 2**64, and a seeded random value for each byte.
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 2**64)
@@ -24,16 +28,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def slices(texts: list[bytes], most: int):
-    """(from, to) runs of texts whose sizes sum to ``most`` at the utmost; a larger text is a run of its own."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > most:
-            yield start, i
-            start, total = i, 0
-        total += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+def chunks(batch: pa.RecordBatch, text: int = 1, most: int = BYTES_AT_ONCE):
+    """(from, to, texts as bytes) runs of a batch's rows of at most ``most`` bytes; only one run's texts are Python objects at a time."""
+    col = batch.column(text)
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, start + int(np.searchsorted(np.cumsum(size[start : start + most]), most, "right")))
+        yield start, stop, [x.encode() if x else b"" for x in col.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of P and of its inverse, kept for the process and built anew only for longer texts."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((P, P_INV)):
+            up = np.full(max(n, BYTES_AT_ONCE) + 2, base, np.uint64)
+            up[0] = 1
+            _powers[k] = np.multiply.accumulate(up, out=up)
+    return _powers
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +76,13 @@ def bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each (start, end)."""
     n = len(buf)
-    up = np.empty(n + 1, np.uint64)
-    up[0], up[1:] = 1, P
-    np.multiply.accumulate(up, out=up)
+    up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[buf] * up[:n], out=total[1:])
-    down = np.empty(n + 1, np.uint64)
-    down[0], down[1:] = 1, P_INV
-    np.multiply.accumulate(down, out=down)
-    return mixed((total[ends] - total[starts]) * down[starts])
+    np.multiply(BYTE[buf], up[:n], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    out = total[ends] - total[starts]
+    out *= down[starts]
+    return mixed(out)
 
 
 def grams(words: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,6 @@ BUCKETS, ZERO_BITS, MANTISSA_BITS = 128, 6, 10
 BANDS, ROWS = 25, 5
 #: Estimates this far (5 standard deviations of 128 registers) below the threshold are not verified.
 SLACK = 5
-BYTES_AT_ONCE = 8_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +75,8 @@ def registers(owner: np.ndarray, h: np.ndarray, count: int) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, less what compressed values agree by chance.
 
-    Two different minima of about the same size share zero count and mantissa with a chance near
-    1 / (3 * 2**(MANTISSA_BITS - 1)): geometric zeros agree with 1/3, mantissas with 2**-MANTISSA_BITS."""
+    Two different minima share zero count and mantissa with a chance near 1 / (3 * 2**MANTISSA_BITS): geometric zeros agree
+    with 1/3, mantissas with 2**-MANTISSA_BITS."""
     chance = 1 / (3 * 2**MANTISSA_BITS)
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
@@ -87,10 +86,9 @@ def _signed(texts_n: int):
 
     def run(batches):
         for batch in batches:
-            ids, col = batch.column(0), batch.column(1)
-            texts = [x.encode() if x else b"" for x in col.to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                owner, h = shingle_sets(texts[i:j], n)
+            ids = batch.column(0)
+            for i, j, texts in flat.chunks(batch):
+                owner, h = shingle_sets(texts, n)
                 regs = registers(owner, h, j - i)
                 size = np.bincount(owner, minlength=j - i)
                 print_a, print_b = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
@@ -137,9 +135,8 @@ def _likely(least: float):
 def _as_sets(n: int):
     def run(batches):
         for batch in batches:
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                owner, h = shingle_sets(texts[i:j], n)
+            for i, j, texts in flat.chunks(batch):
+                owner, h = shingle_sets(texts, n)
                 cut = np.searchsorted(owner, np.arange(j - i + 1)) * 8
                 raw = h.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[cut[k] : cut[k + 1]] for k in range(j - i)], pa.binary())], ["id", "hashes"])
@@ -151,9 +148,8 @@ def _as_items(n: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                owner, h = shingle_sets(texts[i:j], n)
+            for i, j, texts in flat.chunks(batch):
+                owner, h = shingle_sets(texts, n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][owner], pa.int64()), pa.array(h.view(np.int64)), pa.array(np.bincount(owner, minlength=j - i)[owner], pa.int64())], ["id", "item", "n"])
 
     return run

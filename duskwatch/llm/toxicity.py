@@ -20,7 +20,6 @@ HASH_BITS = 20
 CHUNK, HALO = 256, 24
 #: The same for training, and the most chains of each kind that it takes.
 TRAIN_CHUNK, TRAIN_CHAINS = 64, 4000
-BYTES_AT_ONCE = 8_000_000
 #: Lengths in bytes of the prefixes and suffixes that serve as features beside the whole word.
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (4,)
 
@@ -74,6 +73,17 @@ def marginals(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return p.T, pairs
 
 
+def _parts(texts: list[bytes]):
+    """Ranges of texts that are read together: memory follows a part and not the sample."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > flat.BYTES_AT_ONCE:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    yield start, len(texts)
+
+
 class Crf:
     """Weights of hashed token features, 2 x 2 transitions, and the document layer over the marginals."""
 
@@ -84,33 +94,49 @@ class Crf:
     def fit(self, texts: list[bytes], toxic: np.ndarray, steps: int = 60):
         """Token labels come from document labels: a token of a toxic text is toxic if one of its features is common among toxic
         training texts and nearly absent from the others. The chain is then fitted by gradient ascent on those labels."""
-        low, at, starts, ends, doc = tokens(texts)
-        f = features(low, starts, ends)
         size = 1 << HASH_BITS
-        seen = np.unique(np.repeat(doc, f.shape[1]) * size + f.ravel())
-        pos = np.bincount(seen % size, toxic[seen // size], size)
-        neg = np.bincount(seen % size, 1 - toxic[seen // size], size)
+        pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for a, b in _parts(texts):
+            low, _, starts, ends, doc = tokens(texts[a:b])
+            for column in features(low, starts, ends).T:
+                seen = np.unique(doc * size + column)
+                y = toxic[a + seen // size] > 0
+                pos += np.bincount(seen[y] % size, minlength=size).astype(np.int32)
+                neg += np.bincount(seen[~y] % size, minlength=size).astype(np.int32)
         some = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
-        odds = np.log((pos + 0.1) / some[0]) - np.log((neg + 0.1) / some[1])
-        marks = (pos >= SUPPORT) & (odds > 2.5)
-        label = (marks[f].any(axis=1) & (toxic[doc] > 0)).astype(np.float64)
-        # chains: runs of TRAIN_CHUNK tokens; those that hold a toxic token and as many others
-        chunk = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        chains = [(s, min(s + TRAIN_CHUNK, e)) for a, e in zip(chunk, [*chunk[1:], len(doc)], strict=True) for s in range(a, e, TRAIN_CHUNK)]
-        hot = [c for c in chains if label[c[0] : c[1]].any()][:TRAIN_CHAINS]
-        cold = [c for c in chains if not label[c[0] : c[1]].any()]
-        cold = [cold[i] for i in np.random.default_rng(7).permutation(len(cold))[: max(400, len(hot))]]
-        chains = hot + cold
+        marks = (pos >= SUPPORT) & (np.log((pos + 0.1) / some[0]) - np.log((neg + 0.1) / some[1]) > 2.5)
+        # chains: runs of TRAIN_CHUNK tokens of one text; those that hold a toxic token and as many others
+        hot, cold = [], []
+        for a, b in _parts(texts):
+            low, _, starts, ends, doc = tokens(texts[a:b])
+            f = features(low, starts, ends)
+            label = marks[f].any(axis=1) & (toxic[a + doc] > 0)
+            edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+            for s, e in zip(edge, [*edge[1:], len(doc)], strict=True):
+                for k in range(s, e, TRAIN_CHUNK):
+                    stop = min(k + TRAIN_CHUNK, e)
+                    if not label[k:stop].any():
+                        cold.append((a + int(doc[s]), int(k - s)))
+                    elif len(hot) < TRAIN_CHAINS:
+                        hot.append((f[k:stop].copy(), label[k:stop].astype(float)))
+        wanted: dict[int, list[int]] = {}
+        for i in np.random.default_rng(7).permutation(len(cold))[: max(400, len(hot))]:
+            wanted.setdefault(cold[i][0], []).append(cold[i][1])
         if not hot or not cold:
             return self
-        n = max(e - s for s, e in chains)
-        place = np.full((len(chains), n), -1)
-        for k, (s, e) in enumerate(chains):
-            place[k, : e - s] = np.arange(s, e)
-        real = place >= 0
-        fs, y = f[place[real]], label[place[real]]
+        chains = hot
+        for i, places in sorted(wanted.items()):
+            low, _, starts, ends, _ = tokens(texts[i : i + 1])
+            for k in sorted(places):
+                f = features(low, starts[k : k + TRAIN_CHUNK], ends[k : k + TRAIN_CHUNK])
+                chains.append((f, np.zeros(len(f))))
+        lengths = np.array([len(y) for _, y in chains])
+        place = np.arange(lengths.max()) < lengths[:, None]
+        real = place
+        fs, y = np.concatenate([f for f, _ in chains]), np.concatenate([y for _, y in chains])
+        columns = fs.shape[1]
         used, fs = np.unique(fs, return_inverse=True)
-        fs = fs.reshape(-1, f.shape[1])
+        fs = fs.reshape(-1, columns)
         y2 = np.zeros(place.shape)
         y2[real] = y
         both = real[:, 1:]
@@ -127,7 +153,7 @@ class Crf:
             m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
             par += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
         self.weight[used], self.bias, self.trans = par[: len(used)], float(par[len(used)]), par[-4:].reshape(2, 2)
-        x = self.summary(texts)[0]
+        x = np.concatenate([self.summary(texts[a:b])[0] for a, b in _parts(texts)])
         rate = len(toxic) / 2 / np.maximum(1, np.array([(1 - toxic).sum(), toxic.sum()]))[toxic.astype(int)]
         for _ in range(400):
             p = 1 / (1 + np.exp(-np.clip(x @ self.doc, -30, 30)))
@@ -192,9 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scored(model: Crf):
     def run(batches):
         for batch in batches:
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                x, (starts, ends, doc, p) = model.summary(texts[i:j])
+            for i, j, texts in flat.chunks(batch):
+                x, (starts, ends, doc, p) = model.summary(texts)
                 score = 1 / (1 + np.exp(-np.clip(x @ model.doc, -30, 30)))
                 hit = np.flatnonzero(p >= 0.5)
                 spans: list[list] = [[] for _ in range(j - i)]
