@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,30 +59,42 @@ def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame
     by the members' items (from ``items(ids, count)``): the pairs of different components that can still be linked. Pairs inside a component
     cannot change it, so a group of copies costs its size, not its square, and no link that could join two components is lost.
     """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head")
     several = written(buckets.join(heads, "key"))
     tried = written(several.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirm(tried)
-    before, turn = None, 0
+    links = [confirm(tried)]
+    before, turn, labels = None, 0, None
+
+    def joined() -> DataFrame:
+        return written(components(reduce(DataFrame.unionByName, links)))
+
     while True:
-        labels = written(components(links))
-        label = several.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        label = written(label)
+        labels = joined()
+        label = written(several.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
         mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         open_ = written(label.join(mixed, "key", "left_semi"))
-        dropped(label)
         left = written(open_.select("id", "c").distinct())
+        dropped(label)
         parts = left.select("c").distinct().count()
         if not parts:
+            dropped(several, tried, open_, left, *links)
             return labels
+        dropped(labels)
         if before is not None and parts > before * (1 - PROGRESS):
             break
+        dropped(left)
         before, turn = parts, turn + 1
         pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
         pairs = open_.join(pivots, "key").where("c <> pivot.c").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = written(tried.unionByName(pairs))
-        links = links.unionByName(confirm(pairs))
-        dropped(open_, pairs)
-    pairs = prefix_pairs(written(items(left.select("id"), left.count())), left, percent).join(tried, ["a", "b"], "left_anti")
-    return components(links.unionByName(confirm(written(pairs))))
+        older, tried = tried, written(tried.unionByName(pairs))
+        links.append(confirm(pairs))
+        dropped(open_, pairs, older)
+    sets = written(items(left.select("id"), left.count()))
+    likely = prefix_pairs(sets, left, percent)
+    rest = written(likely.join(tried, ["a", "b"], "left_anti"))
+    dropped(sets, likely, tried, several, open_, left)
+    links.append(confirm(rest))
+    labels = joined()
+    dropped(rest, *links)
+    return labels

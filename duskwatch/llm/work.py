@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and everything runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="duskwatch-"))
 
 

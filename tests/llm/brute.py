@@ -83,31 +83,29 @@ def infix_edits(item, text):
     return min(row)
 
 
-def char_set(line, n=12):
-    """Shingles of the line operator: n characters from each word's start; from every character where words are long."""
-    blanks = line.count(" ")
-    if len(line) >= n and len(line) >= 16 * (1 + blanks):
-        return {line[i : i + n] for i in range(len(line) - n + 1)}
-    return {line[i : i + n] for i in range(len(line)) if (i == 0 and line[0] != " ") or (i and line[i - 1] == " ")}
+def char_set(line, n=5):
+    """All overlapping shingles of n characters; a shorter line is its own."""
+    return {line[i : i + n] for i in range(len(line) - n + 1)} or {line}
 
 
 def near_lines(docs, percent):
-    """(doc_id, line) -> first (doc_id, line) of its component, for components of several lines."""
+    """(doc_id, line) -> first (doc_id, line) of its component, for components of several lines: all pairs that share a shingle."""
     rows = []
     for i, t in docs:
         if i is None or t is None:
             continue
-        for k, raw in enumerate(t.lower().split("\n")):
-            if raw.strip(" "):
-                rows.append(((i, k), raw.strip(" ")))
+        for k, raw in enumerate(t.split("\n")):
+            if raw.strip(" \t\r"):
+                rows.append(((i, k), raw.lower().strip(" \t\r")))
     sets = {x: char_set(x) for _, x in rows}
-    fuzzy = [x for x in sets if x.count(" ") >= 4 or len(x) >= 16 * (1 + x.count(" "))]
-    links = []
-    for a, x in enumerate(fuzzy):
-        for y in fuzzy[a + 1 :]:
-            both = len(sets[x] & sets[y])
-            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                links.append((x, y))
+    holders, links = defaultdict(list), []
+    for x, a in sets.items():
+        shared = defaultdict(int)
+        for s in a:
+            for y in holders[s]:
+                shared[y] += 1
+            holders[s].append(x)
+        links += [(x, y) for y, both in shared.items() if 100 * both >= percent * (len(a) + len(sets[y]) - both)]
     comp = reach(sets, links)
     groups = defaultdict(list)
     for at, x in rows:
