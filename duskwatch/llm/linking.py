@@ -54,47 +54,49 @@ def prefix_pairs(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame:
     """(id, component) over the links that ``confirm`` finds among candidates that share a bucket (key, id).
 
-    First every member of a bucket is held against the bucket's smallest id. Where a bucket then still holds several components, pivot rounds
-    hold the members of its other components against one drawn member, as long as that joins components. What is left is paired
-    by the members' items (from ``items(ids, count)``): the pairs of different components that can still be linked. Pairs inside a component
-    cannot change it, so a group of copies costs its size, not its square, and no link that could join two components is lost.
+    First every member of a bucket is held against the bucket's smallest id, which then leaves the bucket. Where what is left still holds several
+    components, pivot rounds hold the members of its other components against one drawn member, which leaves too, as long as that gets ahead: small
+    buckets are soon done. Of the rest, members of large buckets of several components, pairs are found by the members' items
+    (from ``items(ids, count)``). Pairs inside a component cannot change it, so a group of copies costs its size, not its square, and no link
+    that could join two components is lost.
     """
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head")
-    several = written(buckets.join(heads, "key"))
-    tried = written(several.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    rest = written(buckets.join(heads, "key").where("id <> head").distinct())
+    tried = written(rest.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     links = [confirm(tried)]
-    before, turn, labels = None, 0, None
+    before, turn = None, 0
 
     def joined() -> DataFrame:
         return written(components(reduce(DataFrame.unionByName, links)))
 
     while True:
         labels = joined()
-        label = written(several.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        label = written(rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
         mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         open_ = written(label.join(mixed, "key", "left_semi"))
-        left = written(open_.select("id", "c").distinct())
-        dropped(label)
-        parts = left.select("c").distinct().count()
-        if not parts:
-            dropped(several, tried, open_, left, *links)
+        dropped(label, rest)
+        rows = open_.count()
+        if not rows:
+            dropped(tried, open_, *links)
             return labels
         dropped(labels)
-        if before is not None and parts > before * (1 - PROGRESS):
+        if before is not None and rows > before * (1 - PROGRESS):
             break
-        dropped(left)
-        before, turn = parts, turn + 1
+        before, turn = rows, turn + 1
         pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
-        pairs = open_.join(pivots, "key").where("c <> pivot.c").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        held = written(open_.join(pivots, "key").where("id <> pivot.id"))
+        pairs = held.where("c <> pivot.c").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
         older, tried = tried, written(tried.unionByName(pairs))
         links.append(confirm(pairs))
-        dropped(open_, pairs, older)
+        rest = written(held.select("key", "id"))
+        dropped(open_, pairs, older, held)
+    left = written(open_.select("id", "c").distinct())
     sets = written(items(left.select("id"), left.count()))
     likely = prefix_pairs(sets, left, percent)
-    rest = written(likely.join(tried, ["a", "b"], "left_anti"))
-    dropped(sets, likely, tried, several, open_, left)
-    links.append(confirm(rest))
+    last = written(likely.join(tried, ["a", "b"], "left_anti"))
+    dropped(sets, likely, tried, open_, left)
+    links.append(confirm(last))
     labels = joined()
-    dropped(rest, *links)
+    dropped(last, *links)
     return labels
