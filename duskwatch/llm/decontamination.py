@@ -8,26 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .work import written
 
 U = np.uint64
-#: Steps of the random walk that a window takes before its bits are looked up, and independent walks with bit samples.
-STEPS, WALKS = 40, 2
-#: Bits of the walk that one sample keeps: a byte edit between two kept bits goes unseen, so samples differ in what they forgive.
-KEPT = 28
+#: Independent walks, each with its own bit sample; steps of a walk that a sample draws from, and bits that it keeps (the first among them).
+WALKS, STEPS, KEPT = 12, 24, 11
+#: Steps over which the two item-sized windows of a hit are compared by Hamming distance, in three parts. After each, more than a quarter of the
+#: steps must agree by this many roots of their number: of unrelated windows about one step in six agrees, of windows with 20 % edits two in five.
+COMPARED, SPREAD = (14, 32, 96), (0.0, 0.6, 1.05)
+#: Agreements from which one hit alone is verified; with fewer, two windows of the item must point to the same place.
+ALONE = 60
 #: Largest total size of benchmark items that one pass holds; more items take more passes over the documents.
 BLOCK_BYTES = 4_000_000
-BYTES_AT_ONCE = 3_000_000
-#: Fewest normalised bytes of an item that is looked for; shorter ones would match by chance.
+#: Items reduced to fewer bytes have no room for windows and are looked up whole, between word ends.
 LEAST_BYTES = 24
+#: Hits that are compared, and pairs that are verified, at once.
+AT_ONCE, PAIRS_AT_ONCE = 200_000, 4000
 
 _rng = np.random.default_rng(1729)
-#: One random bit for each walk, step and byte: whether the walk moves on in the input after this byte.
-MOVES = _rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.uint8)
-SAMPLES = np.zeros((WALKS, STEPS), np.uint64)
+#: One random bit for each walk, step and byte: whether the walk moves on in the input after this byte. A walk stays at a text's end.
+MOVES = _rng.integers(0, 2, (WALKS, COMPARED[-1], 256)).astype(np.int32)
+MOVES[:, :, 10] = 0
+#: For each kept step of a walk the value of each byte; None for steps that the sample leaves out.
+SAMPLES: list[list] = []
 for _w in range(WALKS):
-    _k = np.sort(_rng.permutation(STEPS)[:KEPT])
-    SAMPLES[_w, _k] = _rng.integers(1, 2**63, KEPT, dtype=np.uint64) | U(1)
-VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+    _kept = {0, *(1 + _rng.permutation(STEPS - 1)[: KEPT - 1]).tolist()}
+    SAMPLES.append([_rng.integers(1, 2**63, 256, dtype=np.uint64) if k in _kept else None for k in range(STEPS)])
 
 
 def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,105 +62,198 @@ def sampled_bits(buf: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
 
     The walk copies the current byte to the output at every step and moves on in the input by a random bit of step and byte; after an edit
     two walks fall into step again, so edit distance becomes Hamming distance. At the end of a text it stays."""
-    at = starts.astype(np.int64)
+    at = starts.astype(np.int32)
     key = np.zeros(len(at), np.uint64)
-    for step in range(STEPS):
-        c = buf[at]
-        if SAMPLES[walk, step]:
-            key += VALUES[c] * SAMPLES[walk, step]
-        at += MOVES[walk, step][c] & (c != 10)
+    for step, value in enumerate(SAMPLES[walk]):
+        c = buf.take(at)
+        if value is not None:
+            key += value.take(c)
+        at += MOVES[walk, step].take(c)
     return flat.mixed(key)
 
 
+def agreements(one: np.ndarray, at_one: np.ndarray, two: np.ndarray, at_two: np.ndarray) -> np.ndarray:
+    """Steps in which the CGK embeddings of two windows agree; 0 for pairs with too few. An item's last windows end before the walk does."""
+    out = np.zeros(len(at_one), np.int32)
+    live, p, q = np.arange(len(at_one)), at_one.astype(np.int32), at_two.astype(np.int32)
+    same, taken, step = np.zeros(len(p), np.int32), np.zeros(len(p), np.int32), 0
+    for stop, spread in zip(COMPARED, SPREAD, strict=True):
+        for k in range(step, stop):
+            x, y = one.take(p), two.take(q)
+            inside = x != 10
+            taken += inside
+            same += (x == y) & inside
+            p += MOVES[0, k].take(x)
+            q += MOVES[0, k].take(y)
+        ok = same >= taken / 4 + spread * np.sqrt(taken)
+        live, p, q, same, taken, step = live[ok], p[ok], q[ok], same[ok], taken[ok], stop
+    out[live] = same
+    return out
+
+
 class Items:
-    """The benchmark's side: for each walk the sorted bit samples of its windows, with item and offset."""
+    """The benchmark's side: for each walk the sorted bit samples of its windows, and short items by their whole hash."""
 
     def __init__(self, ids: list[int], texts: list[bytes], percent: int):
         self.ids, self.percent = ids, percent
-        buf, at = normalised(texts)
-        self.texts = [buf[s : e - 1].tobytes().strip() for s, e in zip(at[:-1], at[1:], strict=True)]
-        starts = windows(buf)
-        item = np.searchsorted(at, starts, "right") - 1
-        ok = np.array([len(t) >= LEAST_BYTES for t in self.texts])[item] if len(item) else np.zeros(0, bool)
-        starts, item = starts[ok], item[ok]
-        # a window must have room for the walk inside the item, but for an item's first one
-        room = (at[item + 1] - starts > STEPS // 2 + 8) | (starts - at[item] < 2)
-        starts, item = starts[room], item[room]
+        self.buf, self.at = normalised(texts)
+        self.texts = [self.buf[s : e - 1].tobytes().strip() for s, e in zip(self.at[:-1], self.at[1:], strict=True)]
+        size = np.array([len(t) for t in self.texts], np.int64)
+        self.starts = windows(self.buf)
+        self.item = np.searchsorted(self.at, self.starts, "right") - 1
+        # a window needs room for the sampled steps inside the item, but for an item's first one
+        room = (self.at[self.item + 1] - self.starts > STEPS // 2 + 8) | (self.starts - self.at[self.item] < 2)
+        ok = room & (size >= LEAST_BYTES)[self.item] if len(self.item) else room
+        self.starts, self.item = self.starts[ok], self.item[ok]
+        self.offset = self.starts - self.at[self.item]
         self.tables = []
         for w in range(WALKS):
-            key = sampled_bits(buf, starts, w)
+            key = sampled_bits(self.buf, self.starts, w)
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << 22, bool)
             seen[(key >> U(42)).astype(np.int64)] = True
-            self.tables.append((seen, key[order], item[order], (starts - at[item])[order]))
+            self.tables.append((seen, key[order], order))
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for k in np.flatnonzero((size > 0) & (size < LEAST_BYTES)):
+            self.short.setdefault(int(size[k]), {}).setdefault(self.texts[k], []).append(int(k))
 
-    def candidates(self, buf: np.ndarray):
-        """(item, start in buf) pairs that share a bit sample with a window of the item."""
+    def most(self, item: int) -> int:
+        """Edits that an occurrence of the item may have."""
+        return len(self.texts[item]) * (100 - self.percent) // 100
+
+    def hits(self, buf: np.ndarray):
+        """(window of an item, start in buf) pairs that share a bit sample, in bounded parts."""
         starts = windows(buf)
-        found = []
-        for w, (seen, key, item, offset) in enumerate(self.tables):
+        for w, (seen, key, order) in enumerate(self.tables):
             got = sampled_bits(buf, starts, w)
-            hit = np.flatnonzero(seen[(got >> U(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(key, got[hit], "left"), np.searchsorted(key, got[hit], "right")
-            for k in np.flatnonzero(hi > lo):
-                for m in range(lo[k], hi[k]):
-                    found.append((int(item[m]), int(starts[hit[k]] - offset[m])))
-        return found
+            maybe = np.flatnonzero(seen[(got >> U(42)).astype(np.int64)])
+            lo, hi = np.searchsorted(key, got[maybe], "left"), np.searchsorted(key, got[maybe], "right")
+            total = np.cumsum(hi - lo)
+            begin = 0
+            while begin < len(maybe):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, "right")))
+                n = (hi - lo)[begin:end]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:end], n)
+                yield order[place], np.repeat(starts[maybe[begin:end]], n)
+                begin = end
 
+    def candidates(self, buf: np.ndarray) -> list[tuple[int, int]]:
+        """(item, where it would start in buf): item-sized windows whose embeddings are near by Hamming distance."""
+        parts = []
+        for window, start in self.hits(buf):
+            same = agreements(self.buf, self.starts[window], buf, start)
+            ok = same > 0
+            parts.append((window[ok], start[ok] - self.offset[window[ok]], same[ok]))
+        if not parts:
+            return []
+        window, begin, same = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        out: set[tuple[int, int]] = set()
+        for shift in (0, 32):  # places near the end of one stretch of 64 bytes are near the start of the next
+            key = self.item[window].astype(np.int64) << 40 | (begin + shift + (1 << 20)) >> 6
+            order = np.lexsort((window, key))
+            k, w, s, b = key[order], window[order], same[order], begin[order]
+            if not len(k):
+                continue
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            tail = np.concatenate([head[1:], [len(k)]]) - 1
+            good = (w[tail] != w[head]) | (np.maximum.reduceat(s, head) >= ALONE)
+            out.update(zip(self.item[w[head[good]]].tolist(), b[head[good]].tolist(), strict=True))
+        return sorted(out)
 
-def infix_edits(item: bytes, text: bytes, most: int) -> tuple[int, int]:
-    """Fewest edits that turn ``item`` into a piece of ``text`` and the piece's end, by bit-parallel columns; (most + 1, -1) if more."""
-    m = len(item)
-    peq: dict[int, int] = {}
-    for k, c in enumerate(item):
-        peq[c] = peq.get(c, 0) | 1 << k
-    full, high = (1 << m) - 1, 1 << m >> 1
-    pv, mv, score = full, 0, m
-    best, end = (m, 0) if m <= most else (most + 1, -1)  # the empty piece
-    for k, c in enumerate(text):
-        eq = peq.get(c, 0)
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        if ph & high:
-            score += 1
-        elif mh & high:
-            score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
-        xv = eq | mv
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, k + 1
+    def whole(self, buf: np.ndarray) -> list[tuple[int, int]]:
+        """(item, start in buf) of every short item that stands in buf as whole words."""
+        out, starts = [], windows(buf)
+        for size, named in self.short.items():
+            at = starts[starts + size < len(buf)]
+            at = at[buf[at + size] <= 32]
+            first = {t[0] for t in named}
+            at = at[np.isin(buf[at], list(first))]
+            for p in at.tolist():
+                out.extend((k, p) for k in named.get(buf[p : p + size].tobytes(), ()))
+        return out
+
+
+def nearest(goals: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the fewest edits that turn the goal into some piece of the text, and where the first such piece ends.
+
+    Bit-parallel columns of the edit table, for all pairs together: words of 64 rows carry their lowest row's step into the next word."""
+    size, length = np.array([len(g) for g in goals]), np.array([len(t) for t in texts])
+    words = max(1, -(-int(size.max()) // 64))
+    kinds = {g: k for k, g in enumerate(dict.fromkeys(goals))}
+    match = np.zeros((len(kinds), words, 256), np.uint64)
+    for g, k in kinds.items():
+        for at, c in enumerate(g):
+            match[k, at >> 6, c] |= U(1 << (at & 63))
+    kind = np.array([kinds[g] for g in goals])
+    text = np.full((len(texts), int(length.max(initial=0))), 10, np.uint8)
+    for k, t in enumerate(texts):
+        text[k, : len(t)] = np.frombuffer(t, np.uint8)
+    up, down = np.full((words, len(goals)), U(2**64 - 1)), np.zeros((words, len(goals)), np.uint64)
+    last, bit = (size - 1) >> 6, ((size - 1) & 63).astype(np.uint64)
+    one, score = U(1), size.copy()
+    best, end = size.copy(), np.zeros(len(goals), np.int64)  # the empty piece
+    for col in range(text.shape[1]):
+        c = text[:, col]
+        more, less = np.zeros(len(goals), np.uint64), np.zeros(len(goals), np.uint64)
+        for w in range(words):
+            eq = match[kind, w, c]
+            pv, mv = up[w], down[w]
+            xv = eq | mv
+            eq = eq | less
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            here = last == w
+            if here.any():
+                step = ((ph >> bit) & one).astype(np.int64) - ((mh >> bit) & one).astype(np.int64)
+                score = np.where(here, score + step, score)
+            out_more, out_less = ph >> U(63), mh >> U(63)
+            ph, mh = ph << one | more, mh << one | less
+            more, less = out_more, out_less
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+        better = (score < best) & (col < length)
+        best, end = np.where(better, score, best), np.where(better, col + 1, end)
     return best, end
 
 
+def infix_edits(item: bytes, text: bytes, most: int) -> tuple[int, int]:
+    """:func:`nearest` of one pair; (most + 1, -1) if more than ``most`` edits are needed."""
+    best, end = nearest([item], [text])
+    return (int(best[0]), int(end[0])) if best[0] <= most else (most + 1, -1)
+
+
 def _found(items: Items):
+    def verified(pending: list[tuple], done: dict) -> None:
+        pending.sort(key=lambda p: len(items.texts[p[0]]))  # goals of about one size together
+        for k in range(0, len(pending), PAIRS_AT_ONCE):
+            part = pending[k : k + PAIRS_AT_ONCE]
+            edits, ends = nearest([items.texts[p[0]] for p in part], [p[3] for p in part])
+            for (item, row, lo, _), e, end in zip(part, edits.tolist(), ends.tolist(), strict=True):
+                most = items.most(item)
+                if e <= most:
+                    done[row, item] = min(done.get((row, item), (most + 1, 0)), (e, lo + end))
+        pending.clear()
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            out: list[list] = [[], [], [], [], []]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                buf, at = normalised(texts[i:j])
-                tried: dict[tuple[int, int], list] = {}
+            ids, done, pending = batch.column(0), {}, []
+            for i, _, texts in flat.chunks(batch):
+                buf, at = normalised(texts)
                 for item, start in items.candidates(buf):
-                    # the window's own word tells the text, even where the item would begin before it
-                    tried.setdefault((item, start >> 5), [item, start])
-                done: dict[tuple[int, int], tuple] = {}
-                for item, start in sorted(tried.values()):
-                    goal = items.texts[item]
-                    most = len(goal) * (100 - items.percent) // 100
-                    doc = int(np.searchsorted(at, min(max(start + most, 0), len(buf) - 1), "right")) - 1
-                    for d in {doc, int(np.searchsorted(at, max(start, 0), "right")) - 1}:
-                        lo, hi = max(int(at[d]), start - most - 32), min(int(at[d + 1]) - 1, start + len(goal) + most + 32)
-                        if hi - lo < len(goal) - most:
-                            continue
-                        edits, end = infix_edits(goal, buf[lo:hi].tobytes(), most)
-                        if edits <= most and (edits, lo + end - int(at[d])) < done.get((d, item), (most + 1,)):
-                            done[d, item] = (edits, lo + end - int(at[d]))
-                for (d, item), (edits, end) in sorted(done.items()):
-                    for k, v in enumerate((ids[i + d], items.ids[item], edits, len(items.texts[item]), end)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "item_length", "match_end"])
+                    size, most = len(items.texts[item]), items.most(item)
+                    for d in {int(np.searchsorted(at, min(max(x, 0), len(buf) - 1), "right")) - 1 for x in (start, start + most, start + size)}:
+                        lo, hi = max(int(at[d]), start - most - 64), min(int(at[d + 1]) - 1, start + size + most + 64)
+                        if hi - lo >= size - most:
+                            pending.append((item, i + d, lo - int(at[d]), buf[lo:hi].tobytes()))
+                for item, start in items.whole(buf):
+                    d = int(np.searchsorted(at, start, "right")) - 1
+                    done[i + d, item] = min(done.get((i + d, item), (1, 0)), (0, start + len(items.texts[item]) - int(at[d])))
+                if len(pending) >= PAIRS_AT_ONCE:
+                    verified(pending, done)
+            verified(pending, done)
+            found = sorted(done.items())
+            out = [ids.take(pa.array([r for (r, _), _ in found], pa.int64())), *(pa.array(v, pa.int64()) for v in (
+                [items.ids[k] for (_, k), _ in found], [e for _, (e, _) in found], [len(items.texts[k]) for (_, k), _ in found], [end for _, (_, end) in found]))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "edits", "item_length", "match_end"])
 
     return run
 
@@ -162,14 +261,15 @@ def _found(items: Items):
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item, edits included: doc_id, item_id, edits, item_length, match_end.
 
-    Texts and items are reduced to lowered letters and digits with single blanks. At every word of a text a window begins; its CGK walk is
-    evaluated as far as the bits that the repeated samples keep. A window that shares a sample with a window of an item
-    nominates an item-sized piece of the text, and the piece counts if at most (100 - percent) % of the item's bytes must be edited.
-    An item has a window at each of its words, so an undamaged run of about STEPS / 2 bytes anywhere in it is enough to be found.
+    Texts and items are reduced to lowered letters and digits with single blanks. An item-sized window of a text is looked up at each of its words:
+    there CGK walks begin, and WALKS repeated samples of their bits are compared with those of the item's window from each of its words on, so that edits
+    before a word do not count against it. Windows that share a sample are compared by Hamming distance over COMPARED steps of the embedding; a place to
+    which two windows of an item point (or one that agrees nearly everywhere) is verified: the piece counts if at most (100 - percent) % of the item's
+    bytes must be edited. Items reduced to fewer than LEAST_BYTES bytes are found where they stand unedited as whole words.
     match_end counts bytes of the reduced text. An item found several times in a text gives the closest, then first match.
 
-    Items go to the executors in blocks of at most BLOCK_BYTES, each block with its own pass. Null and empty texts hold nothing; null,
-    and items reduced to fewer than LEAST_BYTES bytes, are never found. Null items ids are left out. Rows that repeat an id give a row each.
+    Items go to the executors in blocks of at most BLOCK_BYTES, one block after another, each with its own pass. Null and empty texts hold nothing; null,
+    empty and letterless items are never found. Null item ids are left out; null document ids are ids like others. Rows that repeat an id give a row each.
     Empty tables give no rows. Other columns are ignored.
     """
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
@@ -182,5 +282,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_co
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         got = sorted((r["i"], r["t"]) for r in part.collect())
         one = texts.mapInArrow(_found(Items([i for i, _ in got], [t.encode() for _, t in got], percent)), schema)
+        one = one if blocks == 1 else written(one)  # one block's tables are held at a time
         found = one if found is None else found.unionByName(one)
     return found
