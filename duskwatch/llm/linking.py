@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .work import components, dropped, written
 
-#: Pivot rounds go on while one joins at least this share of the components that share a bucket with others.
-PROGRESS = 0.05
+#: Members of a bucket that are paired directly; larger buckets go through pivot rounds and their members' items.
+SMALL = 24
+#: Pivot rounds go on while one lessens the rows of large buckets that hold several components by at least this share.
+PROGRESS = 0.2
 #: Words of 64 bits in a parity sketch.
 SKETCH = 4
 
@@ -51,52 +51,75 @@ def prefix_pairs(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return pairs
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after further links (a, b): only the components that these join are worked on."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ends = written(ends)
+    edges = links.join(ends.withColumnsRenamed({"id": "a", "component": "x"}), "a").join(ends.withColumnsRenamed({"id": "b", "component": "y"}), "b")
+    joined = written(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()))
+    every = labels.unionByName(ends.join(labels, "id", "left_anti"))
+    joined_as = joined.withColumnsRenamed({"id": "component", "component": "low"})
+    out = written(every.join(joined_as, "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+    dropped(ends, joined)
+    return out
+
+
 def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame:
     """(id, component) over the links that ``confirm`` finds among candidates that share a bucket (key, id).
 
     First every member of a bucket is held against the bucket's smallest id, which then leaves the bucket. Where what is left still holds several
-    components, pivot rounds hold the members of its other components against one drawn member, which leaves too, as long as that gets ahead: small
-    buckets are soon done. Of the rest, members of large buckets of several components, pairs are found by the members' items
+    components, buckets of at most SMALL members give their pairs of different components. In larger ones pivot rounds hold the members of the other
+    components against one drawn member, which leaves too, as long as that gets ahead; of the rest pairs are found by the members' items
     (from ``items(ids, count)``). Pairs inside a component cannot change it, so a group of copies costs its size, not its square, and no link
     that could join two components is lost.
     """
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head")
     rest = written(buckets.join(heads, "key").where("id <> head").distinct())
     tried = written(rest.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    links = [confirm(tried)]
+    links = confirm(tried)
+    labels = written(components(links))
+    dropped(links)
     before, turn = None, 0
 
-    def joined() -> DataFrame:
-        return written(components(reduce(DataFrame.unionByName, links)))
+    def untried(pairs: DataFrame) -> DataFrame:
+        """Pairs that no round had yet, and from now on has."""
+        nonlocal tried
+        new = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        older, tried = tried, written(tried.unionByName(new))
+        dropped(older)
+        return new
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal labels
+        links = confirm(pairs)
+        if not links.isEmpty():
+            older, labels = labels, merged(labels, links)
+            dropped(older)
+        dropped(links, pairs)
 
     while True:
-        labels = joined()
         label = written(rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_ = written(label.join(mixed, "key", "left_semi"))
+        mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+        open_ = written(label.join(mixed, "key"))
         dropped(label, rest)
-        rows = open_.count()
-        if not rows:
-            dropped(tried, open_, *links)
-            return labels
-        dropped(labels)
-        if before is not None and rows > before * (1 - PROGRESS):
+        small = open_.where(F.col("n") <= SMALL)
+        x, y = (small.select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
+        linked(untried(x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")))
+        rows = open_.where(F.col("n") > SMALL).count()
+        if not rows or (before is not None and rows > before * (1 - PROGRESS)):
             break
         before, turn = rows, turn + 1
-        pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
-        held = written(open_.join(pivots, "key").where("id <> pivot.id"))
-        pairs = held.where("c <> pivot.c").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        older, tried = tried, written(tried.unionByName(pairs))
-        links.append(confirm(pairs))
+        large = open_.where(F.col("n") > SMALL).select("key", "id", "c")
+        pivots = large.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
+        held = written(large.join(pivots, "key").where("id <> pivot.id"))
+        linked(untried(held.where("c <> pivot.c").select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))))
         rest = written(held.select("key", "id"))
-        dropped(open_, pairs, older, held)
-    left = written(open_.select("id", "c").distinct())
-    sets = written(items(left.select("id"), left.count()))
-    likely = prefix_pairs(sets, left, percent)
-    last = written(likely.join(tried, ["a", "b"], "left_anti"))
-    dropped(sets, likely, tried, open_, left)
-    links.append(confirm(last))
-    labels = joined()
-    dropped(last, *links)
+        dropped(open_, held)
+    if rows:
+        left = written(open_.where(F.col("n") > SMALL).select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")))
+        sets = written(items(left.select("id"), left.count()))
+        likely = prefix_pairs(sets, left, percent)
+        linked(untried(likely))
+        dropped(sets, likely, left)
+    dropped(open_, tried)
     return labels
