@@ -55,11 +55,11 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after further links (a, b): only the components that these join are worked on."""
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     ends = written(ends)
-    edges = links.join(ends.withColumnsRenamed({"id": "a", "component": "x"}), "a").join(ends.withColumnsRenamed({"id": "b", "component": "y"}), "b")
+    edges = links.join(ends.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(ends.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
     joined = written(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()))
     every = labels.unionByName(ends.join(labels, "id", "left_anti"))
-    joined_as = joined.withColumnsRenamed({"id": "component", "component": "low"})
-    out = written(every.join(joined_as, "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+    lower = joined.select(F.col("component").alias("low"), F.col("id").alias("component"))
+    out = written(every.join(lower, "component", "left").select("id", F.coalesce("low", "component").alias("component")))
     dropped(ends, joined)
     return out
 
