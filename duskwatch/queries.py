@@ -539,16 +539,6 @@ def det_rate(s, d):
     return detections(s, d).where("c_rate > 0").select("user_id", "day", "n", F.col("c_rate").alias("confidence"))
 
 
-@query("SELECT user_id, day, z, c_exfil AS confidence FROM det WHERE c_exfil > 0", EV, DAILY, ZED, DET)
-def det_exfil(s, d):
-    return detections(s, d).where("c_exfil > 0").select("user_id", "day", "z", F.col("c_exfil").alias("confidence"))
-
-
-@query("SELECT user_id, day, c_abuse AS confidence FROM det WHERE c_abuse > 0", EV, DAILY, ZED, DET)
-def det_conn_abuse(s, d):
-    return detections(s, d).where("c_abuse > 0").select("user_id", "day", F.col("c_abuse").alias("confidence"))
-
-
 @query("SELECT user_id, day, c_scan AS confidence FROM det WHERE c_scan > 0", EV, DAILY, ZED, DET)
 def det_sweep(s, d):
     return detections(s, d).where("c_scan > 0").select("user_id", "day", F.col("c_scan").alias("confidence"))

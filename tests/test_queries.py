@@ -1,6 +1,6 @@
 import pytest
 
-from duskwatch import identity_queries  # noqa: F401  (registers its queries)
+from duskwatch import cycle_queries, identity_queries  # noqa: F401  (registers their queries)
 from duskwatch import queries as library
 
 from .compare import differences, duck
