@@ -13,8 +13,10 @@ from .work import components, written
 CELL = 4096
 #: The tree's centres come from at most this many vectors (smallest hashes of the ids), and there are at most MAX_LEAVES.
 SAMPLE, MAX_LEAVES = 8192, 1024
-#: Visitors compared with a cell at once.
+#: Visitors compared with a cell at once, in a tree of their own.
 STEP = 1024
+#: Vectors of a node that is not split any more; from so many pairs of children on two nodes meet in a matrix product.
+LEAF, BLOCK_PAIRS = 16, 4096
 
 
 def nested_centres(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,7 @@ class Tree:
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that no square is too large or too small
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -80,8 +83,7 @@ def _packed(kind: str):
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if v and not any(x is None for x in v):
                     x = np.array(v, kind)
-                    size = (x.astype(np.float64) ** 2).sum()
-                    if np.isfinite(size) and size > 0:
+                    if np.isfinite(x).all() and x.any():
                         ids.append(i), raw.append(x.tobytes()), dims.append(len(v))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["id", "raw", "dim"])
 
@@ -138,50 +140,143 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             lab = lab[lab]
 
 
+class Cover:
+    """A cover tree over the unit vectors of one cell: nested levels whose radii halve, from 2 down to nodes of few or equal vectors.
+
+    Each level's centres lie more than its radius apart and cover their nodes within it; a node's centre is also the first of its children. Nodes keep
+    the covering radius that their vectors really have. A node that is not split goes down to the next level as it is."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.levels: list[dict] = []
+        nodes, target = [(0, np.arange(len(x)))] if len(x) else [], 2.0
+        while True:
+            far = [np.sqrt(max(0.0, float((2 - 2 * x[m] @ x[c]).max()))) for c, m in nodes]
+            self.levels.append({"centre": np.array([c for c, _ in nodes], np.int64), "radius": np.array(far)})
+            target /= 2
+            if not any(len(m) > LEAF and r > 1e-6 for (_, m), r in zip(nodes, far, strict=True)):
+                break
+            below, first = [], [0]
+            for (c, m), r in zip(nodes, far, strict=True):
+                below.extend(self._split(c, m, target) if len(m) > LEAF and r > target else [(c, m)])
+                first.append(len(below))
+            self.levels[-1]["first"], nodes = np.array(first), below
+        self.order = np.concatenate([m for _, m in nodes]) if nodes else np.zeros(0, np.int64)
+        self.levels[-1]["first"] = np.concatenate([[0], np.cumsum([len(m) for _, m in nodes])]).astype(np.int64)
+
+    def _split(self, centre: int, members: np.ndarray, target: float) -> list[tuple[int, np.ndarray]]:
+        """Children within ``target``: the centre, then whatever is farthest from all centres so far, until all are covered."""
+        part = self.x[members]
+        near, owner, centres = 2 - 2 * part @ self.x[centre], np.zeros(len(members), np.int64), [centre]
+        while near.max() > target * target:
+            k = int(near.argmax())
+            gap = 2 - 2 * part @ part[k]
+            gap[k] = 0
+            closer = gap < near
+            owner[closer] = len(centres)
+            near[closer] = gap[closer]
+            centres.append(int(members[k]))
+        order = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+        return [(c, members[order[cut[i] : cut[i + 1]]]) for i, c in enumerate(centres) if cut[i + 1] > cut[i]]
+
+
+def _met(pairs, first_a, first_b, xa, xb, reach, same):
+    """Children (i, j) of node pairs whose vectors are within ``reach(i, j)`` of each other, and how many pairs were measured.
+
+    Two nodes with many children meet in one matrix product, the others together."""
+    a, b = pairs
+    na, nb = first_a[a + 1] - first_a[a], first_b[b + 1] - first_b[b]
+    out, measured = [(np.zeros(0, np.int64),) * 2], 0
+
+    def keep(i, j, cos, twin):
+        gap = np.sqrt(np.maximum(0, 2 - 2 * cos))
+        ok = gap <= reach(i, j)
+        if same:
+            ok &= ~twin | (i <= j)
+        return i[ok], j[ok]
+
+    large = na * nb >= BLOCK_PAIRS
+    for k in np.flatnonzero(large):
+        js = np.arange(first_b[b[k]], first_b[b[k] + 1])
+        for s in range(int(first_a[a[k]]), int(first_a[a[k] + 1]), STEP):
+            rows = np.arange(s, min(s + STEP, int(first_a[a[k] + 1])))
+            cos = xa(rows) @ xb(js).T
+            measured += cos.size
+            # a quick bound first: the pair with the widest reach
+            i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * cos)) <= reach(None, None))
+            out.append(keep(rows[i], js[j], cos[i, j], np.full(len(i), bool(same and a[k] == b[k]))))
+    rest = np.flatnonzero(~large)
+    count = (na * nb)[rest]
+    total = np.cumsum(count)
+    begin = 0
+    while begin < len(rest):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 20 * STEP, "right")))
+        part, n = rest[begin:end], count[begin:end]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(nb[part], n)
+        i, j = np.repeat(first_a[a[part]], n) + at // width, np.repeat(first_b[b[part]], n) + at % width
+        measured += len(i)
+        out.append(keep(i, j, np.einsum("ij,ij->i", xa(i), xb(j)), np.repeat(a[part] == b[part], n)))
+        begin = end
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1)), measured
+
+
+def near_pairs(one: Cover, two: Cover, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Dual traversal: all (u, v) with cosine >= ``least``, u of ``one`` and v of ``two`` (u < v if they are the same tree), and how many distances it took.
+
+    Both trees go down together; a pair of nodes is left out if its centres are farther apart than both covering radii and the threshold's distance."""
+    same = one is two
+    if not len(one.x) or not len(two.x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    within = float(np.sqrt(2 - 2 * least)) + 1e-6
+    pairs, measured, la, lb = (np.zeros(1, np.int64), np.zeros(1, np.int64)), 0, 0, 0
+    while la < len(one.levels) - 1 or lb < len(two.levels) - 1:
+        moves = la < len(one.levels) - 1, lb < len(two.levels) - 1
+        firsts = [t.levels[k]["first"] if m else np.arange(len(t.levels[k]["centre"]) + 1) for t, k, m in zip((one, two), (la, lb), moves, strict=True)]
+        la, lb = la + moves[0], lb + moves[1]
+        x, y = one.levels[la], two.levels[lb]
+
+        def reach(i, j, x=x, y=y):
+            return within + (x["radius"].max() + y["radius"].max() if i is None else x["radius"][i] + y["radius"][j])
+
+        pairs, n = _met(pairs, *firsts, lambda i, x=x: one.x[x["centre"][i]], lambda j, y=y: two.x[y["centre"][j]], reach, same)
+        measured += n
+    (i, j), n = _met(pairs, one.levels[la]["first"], two.levels[lb]["first"], lambda i: one.x[one.order[i]], lambda j: two.x[two.order[j]], lambda i, j: within, same)
+    u, v = one.order[i], two.order[j]
+    ok = np.einsum("ij,ij->i", one.x[u], two.x[v]) >= least
+    if same:
+        ok &= i < j
+        u, v = np.minimum(u, v), np.maximum(u, v)
+    return u[ok], v[ok], measured + n
+
+
 def _linked(kind: str, least: float):
     """Counts of links for each vector and a spanning forest of them: rows (id, other, n)."""
 
-    def found(ids, a, vids, b, same):
-        rough = a.astype(np.float32) @ b.astype(np.float32).T
-        u, v = np.nonzero(rough >= least - 1e-4)
-        if same:
-            u, v = u[v > u], v[v > u]
-        if len(u):
-            unsure = rough[u, v] < least + 1e-4
-            ok = ~unsure
-            ok[unsure] = np.einsum("ij,ij->i", a[u[unsure]], b[v[unsure]]) >= least
-            u, v = u[ok], v[ok]
+    def forest(ids, vids, u, v, same):
         if not len(u):
             return None
-        both = np.concatenate([ids, vids])
+        both = ids if same else np.concatenate([ids, vids])
         order = np.argsort(both, kind="stable")
         rank = np.empty(len(both), np.int64)
         rank[order] = np.arange(len(both))
-        x, y = rank[u + len(ids) * same], rank[v + len(ids)]  # in the same cell, the others' rows begin with these
+        x, y = rank[u], rank[v + (0 if same else len(ids))]
         lab = roots(len(both), x, y)
         n = np.bincount(x, minlength=len(both)) + np.bincount(y, minlength=len(both))
         has = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(both[order][has], pa.int64()), pa.array(both[order][lab[has]], pa.int64()), pa.array(n[has], pa.int64())], ["id", "other", "n"])
 
     def run(batches):
-        cell, ids, own = None, None, None
+        cell, ids, tree = None, None, None
         pending_ids, pending = [], []
 
-        def visit(vids, vecs):
-            for k in range(0, len(vids), STEP):
-                out = found(ids, own, vids[k : k + STEP], vecs[k : k + STEP], False)
-                if out is not None:
-                    yield out
-
         def settle():
-            nonlocal ids, own, pending_ids, pending
-            ids, own = np.concatenate(pending_ids), np.concatenate(pending)
+            nonlocal ids, tree, pending_ids, pending
+            ids, tree = np.concatenate(pending_ids), Cover(np.concatenate(pending))
             pending_ids, pending = [], []
-            for k in range(0, len(ids), STEP):
-                # rows k.. against the cell's rows from k on, each pair once
-                out = found(ids[k : k + STEP], own[k : k + STEP], ids[k:], own[k:], True)
-                if out is not None:
-                    yield out
+            u, v, _ = near_pairs(tree, tree, least)
+            return forest(ids, ids, u, v, True)
 
         for batch in batches:
             if not batch.num_rows:
@@ -191,19 +286,26 @@ def _linked(kind: str, least: float):
             bid = batch.column(2).to_numpy(zero_copy_only=False)
             cut = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (role[1:] != role[:-1])) + 1, [len(c)]])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
+                out = None
+                if pending and (c[s] != cell or role[s] != 0):
+                    out = settle()
+                if out is not None:
+                    yield out
                 if c[s] != cell:
-                    if pending:
-                        yield from settle()
-                    cell, ids, own = c[s], None, None
+                    cell = c[s]
+                    if role[s] != 0:
+                        ids = None
                 if role[s] == 0:
                     pending_ids.append(bid[s:e]), pending.append(vec[s:e])
-                else:
-                    if pending:
-                        yield from settle()
-                    if ids is not None:
-                        yield from visit(bid[s:e], vec[s:e])
-        if pending:
-            yield from settle()
+                elif ids is not None:
+                    for k in range(s, e, STEP):
+                        stop = min(k + STEP, e)
+                        u, v, _ = near_pairs(tree, Cover(vec[k:stop]), least)
+                        out = forest(ids, bid[k:stop], u, v, False)
+                        if out is not None:
+                            yield out
+        if pending and (out := settle()) is not None:
+            yield out
 
     return run
 
@@ -213,8 +315,9 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: s
 
     A cover tree over nested centres with halving radii (drawn from a bounded sample) houses every vector in a leaf; covering
     radii come from all vectors. Dual traversal prunes node pairs that no link can span, and a vector visits another leaf only if
-    the leaf's radius allows it. Large leaves are split into cells, each pair of vectors meets in one cell, and cells emit counts
-    and a spanning forest instead of pairs. Cosines are decided in double precision.
+    the leaf's radius allows it. Large leaves are split into cells, each pair of vectors meets in one cell. A cell's vectors form a cover tree of
+    their own, as do its visitors, and dual traversal of these finds the pairs; cells emit counts and a spanning forest instead of pairs. Cosines
+    are decided in double precision.
 
     Null or empty vectors, zero vectors and those with null, NaN or infinite components link with nothing, nor do vectors of
     different length. Ids should be unique; rows without an id are left out. An empty table gives no rows. Other columns are ignored.
