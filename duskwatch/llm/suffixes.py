@@ -16,7 +16,6 @@ U = np.uint64
 TOP = U(2**64 - 1)
 #: Bytes of a cover string; every string of ``length`` bytes holds the start of at least one sampled one.
 GRAM = 64
-BYTES_AT_ONCE = 6_000_000
 #: Contexts that are sorted together; a bucket with more distinct contexts than BUCKET is counted by its strings' hashes instead.
 BLOCK, BUCKET = 20_000, 100_000
 
@@ -59,9 +58,8 @@ def _samples(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                buf, at = flat.joined(texts[i:j])
+            for i, j, texts in flat.chunks(batch):
+                buf, at = flat.joined(texts)
                 pos, gram = sampled(buf, at, length)
                 doc = np.searchsorted(at, pos, "right") - 1
                 lo, hi = _clip(pos, at, doc, length)
@@ -206,9 +204,10 @@ def _cut(batches):
 def repeat_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, s, e): byte ranges of ``docs`` (doc_id, text) covered by strings of ``length`` bytes that start anywhere else too."""
     samples = written(docs.mapInArrow(_samples(length), "gram long, context long, doc_id long, pos int"))
-    several = samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = written(samples.join(several, "gram"))
-    dropped(samples)
+    # written first, so that the join shuffles both sides and a very common string's samples can be split over tasks
+    several = written(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    shared = written(keeping(samples, several, "gram", several.count()))
+    dropped(samples, several)
     kinds = written(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one")))
     buckets = written(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"))
     asked = kinds.join(buckets, "gram").select("one.doc_id", F.struct("gram", "context", "one.pos").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("asked"))
