@@ -20,7 +20,6 @@ SHINGLE = 5
 BANDS = 3
 #: Paragraphs with fewer words are only compared whole: one shingle more or less already takes them below 0.8.
 LEAST_FUZZY = 8
-BYTES_AT_ONCE = 8_000_000
 
 
 def paragraphs(texts: list[bytes]):
@@ -61,9 +60,8 @@ def _listed(least: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x.encode() if x else b"" for x in batch.column(1).to_pylist()]
-            for i, j in flat.slices(texts, BYTES_AT_ONCE):
-                words, doc, head, size, _, _ = paragraphs(texts[i:j])
+            for i, j, texts in flat.chunks(batch):
+                words, doc, head, size, _, _ = paragraphs(texts)
                 owner = np.repeat(np.arange(len(head)), size)
                 place = np.arange(len(words)) - head[owner] if len(head) else np.zeros(0, np.int64)
                 up = np.cumprod(np.full(int(size.max(initial=1)) + 1, U(flat.P)))
@@ -149,5 +147,6 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, least_words: int = 3
     rows = rows.withColumn("new", F.when(F.col("paragraph") - F.lag("paragraph").over(at) <= 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(at))
     rows = written(rows.withColumn("words", F.sum("n_words").over(W.partitionBy("doc_id", "run"))).where(F.col("words") >= least_words))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first)  # so that the join shuffles both sides and a large component can be split over tasks
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
     return rows.join(first, "component").select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
