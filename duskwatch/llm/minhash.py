@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     signed = written(texts.mapInArrow(_signed(words), "doc_id long, n_shingles long, print_a long, print_b long, regs binary"))
     full = signed.where("n_shingles > 0")
-    reps = full.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written first, so that the join shuffles both sides and a large group of copies can be split over tasks
+    reps = written(full.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     member = written(full.join(reps, ["print_a", "print_b", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
     alone = written(full.select(F.col("doc_id").alias("id"), "regs").join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
     buckets = written(alone.select("id", "regs").mapInArrow(_banded, "key long, id long"))
