@@ -61,10 +61,15 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, F.sha2("text", 256).alias("text_sha256"))
 
 
+#: Documents of one source and language that stand in a directory together, by id, as the shards of a collection do.
+SHARD = 64
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source: path source/lang/doc_id, or source/lang/LICENSE-doc_id for those that consist mainly of licence text."""
+    """Documents as files of their source: path source/lang/shard/doc_id, or source/lang/shard/LICENSE-doc_id for those that consist mainly of licence text."""
     name = F.concat(F.when(licenses.mainly_licence(F.col("text")), "LICENSE-").otherwise(""), F.col("doc_id").cast("string"))
-    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", name).alias("path"), "text")
+    shard = F.floor(F.col("doc_id") / SHARD).cast("string")
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", shard, name).alias("path"), "text")
     return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_replace(F.substring_index("path", "/", -1), "^LICENSE-", "").cast("long"))
 
 
