@@ -67,14 +67,19 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame:
     """(id, component) over the links that ``confirm`` finds among candidates that share a bucket (key, id).
 
-    First every member of a bucket is held against the bucket's smallest id, which then leaves the bucket. Where what is left still holds several
+    ``buckets`` may hold a weight ``w`` for each id. First every member of a bucket is held against the bucket's heaviest id (of equals the smallest), which
+    then leaves the bucket: a line or text that stands many times unchanged is the one that its edited copies are near to. Where what is left still holds several
     components, buckets of at most SMALL members give their pairs of different components. In larger ones pivot rounds hold the members of the other
     components against one drawn member, which leaves too, as long as that gets ahead; of the rest pairs are found by the members' items
     (from ``items(ids, count)``). Pairs inside a component cannot change it, so a group of copies costs its size, not its square, and no link
     that could join two components is lost.
     """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head")
+    buckets = buckets if "w" in buckets.columns else buckets.withColumn("w", F.lit(0).cast("long"))
+    best = F.struct("w", (-F.col("id")).alias("i"))
+    heads = buckets.groupBy("key").agg(F.max(best)["i"].alias("i"), F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    heads = written(heads.select("key", (-F.col("i")).alias("head")))  # written, so that the join shuffles both sides and a large bucket can be split
     rest = written(buckets.join(heads, "key").where("id <> head").distinct())
+    dropped(heads)
     tried = written(rest.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     links = confirm(tried)
     labels = written(components(links))
@@ -98,7 +103,7 @@ def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame
         dropped(links, pairs)
 
     while True:
-        label = written(rest.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        label = written(rest.select("key", "id", "w").join(labels, "id", "left").select("key", "id", "w", F.coalesce("component", "id").alias("c")))
         mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
         open_ = written(label.join(mixed, "key"))
         dropped(label, rest)
@@ -109,11 +114,11 @@ def linked_groups(buckets: DataFrame, confirm, items, percent: int) -> DataFrame
         if not rows or (before is not None and rows > before * (1 - PROGRESS)):
             break
         before, turn = rows, turn + 1
-        large = open_.where(F.col("n") > SMALL).select("key", "id", "c")
-        pivots = large.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
+        large = open_.where(F.col("n") > SMALL).select("key", "id", "w", "c")
+        pivots = large.groupBy("key").agg(F.max_by(F.struct("id", "c"), F.struct("w", F.xxhash64("id", F.lit(turn)))).alias("pivot"))
         held = written(large.join(pivots, "key").where("id <> pivot.id"))
         linked(untried(held.where("c <> pivot.c").select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))))
-        rest = written(held.select("key", "id"))
+        rest = written(held.select("key", "id", "w"))
         dropped(open_, held)
     if rows:
         left = written(open_.where(F.col("n") > SMALL).select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")))
