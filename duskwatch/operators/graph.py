@@ -1,22 +1,47 @@
-"""Operators over redirects between identities."""
+"""Operators over redirects and links between identities."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in ``spark.checkpoint.dir``; one of our own is set only where everything runs in one process (tests)."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duskwatch-"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every end of the undirected ``edges`` (a, b); component is the smallest id reachable.
+
+    Labels go down along edges and then along themselves until none moves; each round is a grouped minimum and two joins, cut by a checkpoint."""
+    shared_checkpoints(edges.sparkSession)
+    both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    now = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).select(F.col("a").alias("id"), "component").checkpoint()
+    while True:
+        label = now.select(F.col("id").alias("b"), F.col("component").alias("near"))
+        low = both.join(label, "b").groupBy("a").agg(F.min("near").alias("low")).withColumnRenamed("a", "id")
+        step = now.join(low, "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("old"))
+        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        step = step.join(jump, "component", "left").select("id", F.least("component", "further").alias("component"), "old").checkpoint()
+        now = step.drop("old")
+        if not step.where("component <> old").limit(1).count():
+            return now
+
+
 def canonical(redirects: DataFrame, source: str, target: str, rounds: int = 40) -> DataFrame:
     """``redirects`` (one target for each source) with ``canonical``, the end of each chain.
 
     Pointer jumping: each round replaces a target by its target's target, so a chain of length n takes log2 n rounds of one
     equality join, each cut by a checkpoint. Null ends are left out. A cycle never settles; it raises ValueError.
     """
-    spark = redirects.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duskwatch-"))  # unset only outside clusters, as in tests
+    shared_checkpoints(redirects.sparkSession)
     now = redirects.where(F.col(source).isNotNull() & F.col(target).isNotNull()).withColumn("canonical", F.col(target))
     for _ in range(rounds):
         step = now.select(F.col(source).alias("__at"), F.col("canonical").alias("__to"))

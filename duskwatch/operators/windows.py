@@ -34,3 +34,12 @@ def newest(rows: DataFrame, key: str, count: int) -> DataFrame:
     """The ``count`` newest rows of each key; of equal times the larger event_id is newer."""
     w = W.partitionBy(key).orderBy(F.desc("t"), F.desc("event_id"))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
+
+
+def ranked(rows: DataFrame, order: list, groups: list[str], within) -> DataFrame:
+    """``rows`` with their place (rank, from 1) by ``order`` over the columns ``groups``, ties by ``within``.
+
+    A table of the group's counts gives each group's first place, so rows are sorted group by group and not all in one task."""
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("size"))
+    first = sizes.withColumn("first", F.sum("size").over(W.orderBy(*order)) - F.col("size")).drop("size")  # one row for each group
+    return rows.join(first, groups).withColumn("rank", F.col("first") + F.row_number().over(W.partitionBy(*groups).orderBy(within))).drop("first")

@@ -243,9 +243,9 @@ def interval_identity(s, d):
 @query("SELECT a.event_id, b.event_id AS near FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 7200 AND a.t + 7200 WHERE a.event_type = 'purchase' AND b.event_type = 'error'", EV)
 def interval_near(s, d):
     e = events(s, d)
-    a = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
-    b = e.where("event_type = 'error'").select(F.col("event_id").alias("near"), "user_id", F.col("t").alias("u"))
-    return a.join(b, "user_id").where(F.abs(F.col("t") - F.col("u")) <= 7200).select("event_id", "near")
+    a = e.where("event_type = 'purchase'").select("event_id", "user_id", "t", F.floor(F.col("t") / 7200).alias("slot"))
+    b = e.where("event_type = 'error'").select(F.col("event_id").alias("near"), "user_id", F.col("t").alias("u"), F.explode(F.expr("sequence(floor(t / 7200) - 1, floor(t / 7200) + 1)")).alias("slot"))
+    return a.join(b, ["user_id", "slot"]).where(F.abs(F.col("t") - F.col("u")) <= 7200).select("event_id", "near")  # each pair shares one slot of a
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'missing right' WHEN a.user_id IS NULL THEN 'missing left' WHEN a.n <> b.n THEN 'diverged' ELSE 'equal' END AS status FROM (SELECT user_id, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY 1) b ON a.user_id = b.user_id", EV)
@@ -279,23 +279,32 @@ def query_variance(s, d):
     return events(s, d).groupBy("user_id", "k").agg(n().alias("n")).groupBy("user_id").agg(F.round(F.var_pop("n"), 6).alias("variance"))
 
 
-@query("SELECT user_id, arg_max(k, w * 1000 - k) AS k, round(max(w) / sum(w), 6) AS share FROM (SELECT user_id, k, round(sum(pow(0.5, (19753 - day) / 7.0)), 9) AS w FROM ev GROUP BY 1, 2) GROUP BY 1", EV)
+@query("""SELECT user_id, k, round(w / total, 6) AS share FROM (SELECT *, sum(w) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, k) AS place
+ FROM (SELECT user_id, k, round(sum(pow(0.5, (last - day) / 7.0)), 9) AS w FROM ev, (SELECT max(day) AS last FROM ev) GROUP BY 1, 2)) WHERE place = 1""", EV)
 def decayed_top(s, d):
-    w = events(s, d).groupBy("user_id", "k").agg(F.round(F.sum(F.pow(F.lit(0.5), (19753 - F.col("day")) / 7.0)), 9).alias("w"))
-    return w.groupBy("user_id").agg(F.max_by("k", F.col("w") * 1000 - F.col("k")).alias("k"), F.round(F.max("w") / F.sum("w"), 6).alias("share"))
+    """The destination with the highest weight, halved each week before the last day of the data; of equal weights the smaller."""
+    e = events(s, d)
+    last = e.agg(F.max("day").alias("last"))
+    w = e.join(F.broadcast(last)).groupBy("user_id", "k").agg(F.round(F.sum(F.pow(F.lit(0.5), (F.col("last") - F.col("day")) / 7.0)), 9).alias("w"))  # one row
+    return w.groupBy("user_id").agg(F.max_by("k", F.struct("w", -F.col("k"))).alias("k"), F.round(F.max("w") / F.sum("w"), 6).alias("share"))
 
 
 @query("SELECT user_id, count(*) AS n, count(DISTINCT k) AS targets, count(DISTINCT CASE WHEN event_type = 'error' THEN k END) AS rejected, round(max(value), 4) AS longest, round(sum(value), 4) AS bytes, array_to_string(list_sort(list(DISTINCT k))[1:5], ',') AS examples FROM ev GROUP BY 1", EV)
 def conn_features(s, d):
-    return events(s, d).groupBy("user_id").agg(
-        n().alias("n"), F.countDistinct("k").alias("targets"), F.countDistinct(F.when(F.col("event_type") == "error", F.col("k"))).alias("rejected"), F.round(F.max("value"), 4).alias("longest"),
-        F.round(F.sum("value"), 4).alias("bytes"), F.array_join(F.slice(F.sort_array(F.collect_set("k")), 1, 5), ",").alias("examples"))
+    """Through (device, destination) first: no expansion for the distinct counts, and only the five smallest destinations are printed."""
+    e = events(s, d).groupBy("user_id", "k").agg(n().alias("n"), when_n(F.col("event_type") == "error").alias("errors"), F.max("value").alias("longest"), F.sum("value").alias("bytes"))
+    e = e.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.asc_nulls_last("k"))))
+    first = F.sort_array(F.collect_list(F.when(F.col("place") <= 5, F.col("k"))))
+    return e.groupBy("user_id").agg(
+        F.sum("n").alias("n"), F.count("k").alias("targets"), when_n((F.col("errors") > 0) & F.col("k").isNotNull()).alias("rejected"), F.round(F.max("longest"), 4).alias("longest"),
+        F.round(F.sum("bytes"), 4).alias("bytes"), F.array_join(first, ",").alias("examples"))
 
 
-@query("SELECT user_id, CASE WHEN max(n) / sum(n) >= 0.5 THEN arg_max(event_type, n * 1000 + ascii(event_type))::VARCHAR ELSE 'unknown' END AS dominant FROM (SELECT user_id, event_type, count(*) AS n FROM ev GROUP BY 1, 2) GROUP BY 1", EV)
+@query("""SELECT user_id, CASE WHEN n * 2 >= total THEN event_type ELSE 'unknown' END AS dominant FROM (SELECT user_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id) AS total,
+ row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type DESC) AS place FROM ev GROUP BY 1, 2) WHERE place = 1""", EV)
 def dominant_dest(s, d):
     c = events(s, d).groupBy("user_id", "event_type").agg(n().alias("n"))
-    return c.groupBy("user_id").agg(F.when(F.max("n") / F.sum("n") >= 0.5, F.max_by("event_type", F.col("n") * 1000 + F.ascii("event_type"))).otherwise("unknown").alias("dominant"))
+    return c.groupBy("user_id").agg(F.when(F.max("n") / F.sum("n") >= 0.5, F.max_by("event_type", F.struct("n", "event_type"))).otherwise("unknown").alias("dominant"))
 
 
 @query("SELECT user_id, k, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, k) AS rank FROM (SELECT user_id, k, count(*) AS n FROM ev GROUP BY 1, 2)) WHERE rank <= 10", EV)
@@ -341,8 +350,8 @@ def peer_deviation(s, d):
 @query("SELECT k, devices, days, devices >= 3 AND days >= 7 AS established, row_number() OVER (ORDER BY devices DESC, days DESC, k) AS rank FROM (SELECT k, count(DISTINCT user_id) AS devices, count(DISTINCT day) AS days FROM ev GROUP BY 1)", EV)
 def popularity_rank(s, d):
     c = events(s, d).groupBy("k").agg(F.countDistinct("user_id").alias("devices"), F.countDistinct("day").alias("days"))
-    rank = F.row_number().over(W.orderBy(F.desc("devices"), F.desc("days"), "k")).cast("long")  # one row for each name
-    return c.select("k", "devices", "days", ((F.col("devices") >= 3) & (F.col("days") >= 7)).alias("established"), rank.alias("rank"))
+    c = windows.ranked(c, [F.desc("devices"), F.desc("days")], ["devices", "days"], F.asc("k"))
+    return c.select("k", "devices", "days", ((F.col("devices") >= 3) & (F.col("days") >= 7)).alias("established"), "rank")
 
 
 @query("SELECT user_id, k, count(DISTINCT day) AS days, count(DISTINCT day) >= 3 AS adopted FROM ev GROUP BY 1, 2", EV)
@@ -369,8 +378,8 @@ def independent_families(s, d):
 
 @query("SELECT k, event_type AS feed, round(value, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY value DESC, event_type DESC, event_id) AS r FROM ev) WHERE r = 1", EV)
 def feed_merge(s, d):
-    w = W.partitionBy("k").orderBy(F.desc("value"), F.desc("event_type"), "event_id")
-    return events(s, d).withColumn("r", F.row_number().over(w)).where("r = 1").select("k", F.col("event_type").alias("feed"), F.round("value", 4).alias("confidence"))
+    best = F.max_by(F.struct("event_type", "value"), F.struct("value", "event_type", -F.col("event_id")))
+    return events(s, d).groupBy("k").agg(best.alias("b")).select("k", F.col("b.event_type").alias("feed"), F.round("b.value", 4).alias("confidence"))
 
 
 @query("""SELECT cls, n, hits, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS lower
@@ -395,7 +404,8 @@ def pool_gaussian(s, d):
 @query("SELECT user_id, n, CAST(floor((row_number() OVER (ORDER BY n, user_id) - 1) * 3 / count(*) OVER ()) AS BIGINT) AS tertile FROM (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)", EV)
 def cohort_tertiles(s, d):
     c = events(s, d).groupBy("user_id").agg(n().alias("n"))
-    return c.join(F.broadcast(c.agg(n().alias("all")))).select("user_id", "n", F.floor((F.row_number().over(W.orderBy("n", "user_id")) - 1) * 3 / F.col("all")).cast("long").alias("tertile"))  # one row for each device
+    c = windows.ranked(c, [F.asc("n")], ["n"], F.asc("user_id"))
+    return c.join(F.broadcast(c.agg(n().alias("all")))).select("user_id", "n", F.floor((F.col("rank") - 1) * 3 / F.col("all")).cast("long").alias("tertile"))  # one row
 
 
 # --- windows
