@@ -15,6 +15,8 @@ U = np.uint64
 SAMPLE_EACH, SAMPLE_CHARS = 1500, 12_000
 #: Fewest toxic training documents that a feature must occur in before it can mark a token as toxic.
 SUPPORT = 4
+#: Least likelihood ratio of such a feature: with 2 ** HASH_BITS features one reaches it by chance in about ten fits.
+EVIDENCE = 26.0
 HASH_BITS = 20
 #: Tokens of a chain that run together; a chunk reads this many tokens of its neighbours first, beyond which messages have faded.
 CHUNK, HALO = 256, 24
@@ -89,7 +91,7 @@ class Crf:
 
     def __init__(self):
         self.weight, self.bias, self.trans = np.zeros(1 << HASH_BITS, np.float32), -4.0, np.array([[1.0, -1.0], [0.0, 0.0]])
-        self.doc = np.zeros(4)
+        self.doc = np.array([-3.0, 0, 0, 0])  # without a token that marks toxic texts every text counts as clean
 
     def fit(self, texts: list[bytes], toxic: np.ndarray, steps: int = 60):
         """Token labels come from document labels: a token of a toxic text is toxic if one of its features is common among toxic
@@ -104,7 +106,11 @@ class Crf:
                 pos += np.bincount(seen[y] % size, minlength=size).astype(np.int32)
                 neg += np.bincount(seen[~y] % size, minlength=size).astype(np.int32)
         some = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
-        marks = (pos >= SUPPORT) & (np.log((pos + 0.1) / some[0]) - np.log((neg + 0.1) / some[1]) > 2.5)
+        share = some[0] / (some[0] + some[1])
+        seen = np.maximum(pos + neg, 1)
+        # likelihood ratio against chance: among so many features some are common in a few toxic texts without meaning anything
+        ratio = 2 * (pos * np.log(np.maximum(pos / seen / share, 1e-9)) + neg * np.log(np.maximum(neg / seen / (1 - share), 1e-9)))
+        marks = (pos >= SUPPORT) & (np.log((pos + 0.1) / some[0]) - np.log((neg + 0.1) / some[1]) > 2.5) & (ratio >= EVIDENCE)
         # chains: runs of TRAIN_CHUNK tokens of one text; those that hold a toxic token and as many others
         hot, cold = [], []
         for a, b in _parts(texts):
@@ -155,6 +161,7 @@ class Crf:
         self.weight[used], self.bias, self.trans = par[: len(used)], float(par[len(used)]), par[-4:].reshape(2, 2)
         x = np.concatenate([self.summary(texts[a:b])[0] for a, b in _parts(texts)])
         rate = len(toxic) / 2 / np.maximum(1, np.array([(1 - toxic).sum(), toxic.sum()]))[toxic.astype(int)]
+        self.doc = np.zeros(4)
         for _ in range(400):
             p = 1 / (1 + np.exp(-np.clip(x @ self.doc, -30, 30)))
             h = (x * (rate * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4)

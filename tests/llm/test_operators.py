@@ -187,6 +187,36 @@ def test_decontamination_against_full_edit_tables(spark):
     assert got == want
 
 
+def damaged(rng, text, percent, even, kind="replace"):
+    """``text`` with that share of its characters replaced, or replaced, doubled and dropped by turns."""
+    count = len(text) * percent // 100
+    at = {int((k + 0.5) * len(text) / count) for k in range(count)} if even else set(rng.sample(range(len(text)), count))
+    out = []
+    for k, c in enumerate(text):
+        how = 0 if kind == "replace" else rng.randrange(3)
+        out.append(c if k not in at else (rng.choice("abcdefghijklmnopqrstuvwxyz"), c + rng.choice("aeiou"), "")[how])
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("percent", "even", "kind", "least"), [(10, False, "mixed", 0.97), (15, False, "replace", 0.95), (18, False, "mixed", 0.95), (10, True, "replace", 0.97), (15, True, "replace", 0.95), (19, True, "replace", 0.8)])
+def test_decontamination_recall(spark, percent, even, kind, least):
+    """Benchmark items set into other texts with random or evenly spread edits: at least this share is found."""
+    rng = random.Random(percent)
+    items = [(r["item_id"], re.sub(r"\W+", " ", r["text"].lower()).strip()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    host = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy"
+    docs = [(i, f"{host} {damaged(rng, t, percent, even, kind)} {host}") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, docs), bench).collect()}
+    assert sum((i, i) in got for i, _ in items) >= least * len(items)
+
+
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "Forty two"), (2, "yes"), (3, "..."), (4, None)], "item_id long, text string")
+    docs = [(1, "It is forty, two."), (2, "forty twofold yesterday"), (3, "x" * 300_000 + " yes"), (4, "yes"), (None, "yes")]
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["edits"]) for r in decontamination.contaminated(frame(spark, docs), bench).collect())
+    assert got == [(0, 2, 0), (1, 1, 0), (3, 2, 0), (4, 2, 0)]
+
+
 def test_infix_edits():
     rng = random.Random(12)
     for _ in range(200):
@@ -329,7 +359,7 @@ def test_empty_tables(spark, name):
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_nulls_repeated_rows_and_clashing_columns(spark, name):
     rows = [(1, None, None, None, None), (2, "", None, None, None), (3, "Same text. Of a few words, repeated here", None, "s", 1), (3, "Same text. Of a few words, repeated here", None, "s", 1), (None, "a text without id", None, "s", 1), (None, None, None, None, None)]
-    clash = "id long, key string, component long, n long, a long, b long, line long, content long, rank long, bucket long, spans string, gram long, h long, kept boolean"
+    clash = "id long, gone long, __id long, __left string, left string, row string, key string, component long, n long, a long, b long, line long, content long, rank long, bucket long, spans string, gram long, h long, kept boolean"
     extra = [c.split()[0] for c in clash.split(", ")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in clash.split(", ")])
     plain = OPERATORS[name](spark, spark.createDataFrame(rows, SCHEMA))
@@ -339,6 +369,163 @@ def test_nulls_repeated_rows_and_clashing_columns(spark, name):
     assert sorted(map(str, other.collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize(("n", "dim", "copies", "least"), [(60, 3, 10, 0.95), (400, 8, 100, 0.8), (900, 64, 300, 0.95)])
+def test_cover_trees_find_all_pairs(n, dim, copies, least):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dim))
+    x = np.concatenate([x, x[rng.integers(0, n, copies)] + 0.1 * rng.normal(size=(copies, dim)), x[:5]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = covertree.Cover(x)
+    for depth, level in enumerate(tree.levels[:-1]):  # nested: a node's centre is its first child's, and children stay within the halved radius
+        below = tree.levels[depth + 1]
+        assert (below["centre"][level["first"][:-1]] == level["centre"]).all()
+        split = np.diff(level["first"]) > 1
+        assert all((below["radius"][a:b] <= 2.0**-depth + 1e-9).all() for a, b in zip(level["first"][:-1][split], level["first"][1:][split], strict=True))
+    cos = x @ x.T
+    u, v, _ = covertree.near_pairs(tree, tree, least)
+    assert {(i, j) for i, j in zip(*np.nonzero(np.triu(cos >= least, 1)), strict=True)} == set(zip(u, v, strict=True))
+    half = len(x) // 2
+    u, v, _ = covertree.near_pairs(covertree.Cover(x[:half]), covertree.Cover(x[half:]), least)
+    assert {(i, j - half) for i, j in zip(*np.nonzero(np.triu(cos >= least, 1)), strict=True) if i < half <= j} == set(zip(u, v, strict=True))
+
+
+def test_embeddings_of_extreme_size_and_clashing_columns(spark):
+    rows = [(1, [1e200, 1e200], "x", 1), (2, [1e-200, 1.01e-200], None, None), (3, [1.0, -1.0], None, None), (4, [1.0, float("nan")], None, None), (4, [1.0, float("nan")], None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, leaf int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in covertree.embedding_near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (4, 0, 4, True)]
+
+
+def test_surrogates_always_end_and_keep_people_apart(spark):
+    docs = [
+        (1, "Mrs Anna Berg met Mr Otto Berg. Mrs Berg said Anna and Otto left."), (2, "password=*** and password=пароль"), (3, " ".join(f"password={i}" for i in range(10))), (4, "Mr Alex Kim and Mrs Alex Kim"),
+        (5, "call (555) 123-4567, 555-123-4567, +49 30 1234567; id 123-45-6789; 2001:db8::1; DE89 3704 0044 0532 0130 00; 3782-822463-10005"), (6, "at 12:30:45 nothing"), (7, "x " * 200_000 + "Mr Ng"),
+    ]
+    got = {r["doc_id"]: [(e["kind"], e["value"], e["surrogate"]) for e in r["entities"]] for r in surrogates.with_surrogates(frame(spark, docs)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 7}
+    new = {}
+    for i in (1, 4):
+        for place, (_, value, fresh) in enumerate(got[i]):
+            new.setdefault((i, value), []).append(fresh)
+            assert fresh != value and place >= 0
+    assert len(set(new[1, "Anna"])) == len(set(new[1, "Berg"])) == len(set(new[1, "Otto"])) == 1 and len(new[1, "Berg"]) == 3
+    assert len(set(new[4, "Alex"])) == 2 and len(set(new[4, "Kim"])) == 1
+    assert all(value != fresh for e in got.values() for _, value, fresh in e)
+    assert len({fresh for _, _, fresh in got[3]}) == 10
+    assert [k for k, _, _ in got[5]] == ["phone", "phone", "phone", "national_id", "ip6", "iban", "card"]
+    for _, value, fresh in got[5]:
+        assert re.sub(r"[0-9a-zA-Z]", "x", value) == re.sub(r"[0-9a-zA-Z]", "x", fresh)
+
+
+def test_toxicity_equals_whole_chains():
+    """Scores from chunks with a halo against forward-backward over each whole text, one token at a time."""
+    rng = random.Random(4)
+    bad, good = ["scumlet", "vilewort"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    texts, toxic = [], []
+    for i in range(160):
+        words = [rng.choice(good) for _ in range(rng.randrange(30, 700))]
+        if i % 3 == 0:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words).encode()), toxic.append(float(i % 3 == 0))
+    model = toxicity.Crf().fit(texts, np.array(toxic))
+    x, (_, _, doc, p) = model.summary(texts)
+    for i in range(0, 160, 16):
+        low, _, s, e, _ = toxicity.tokens([texts[i]])
+        unary = model.weight[toxicity.features(low, s, e)].sum(axis=1, dtype=float) + model.bias
+        t, n = model.trans, len(unary)
+        a, b = np.zeros((n, 2)), np.zeros((n, 2))
+        b[-1] = t[:, 0]  # texts begin and end clean
+        for k in range(n):
+            for y in (0, 1):
+                a[k, y] = y * unary[k] + (np.logaddexp(a[k - 1, 0] + t[0, y], a[k - 1, 1] + t[1, y]) if k else t[0, y])
+        for k in range(n - 2, -1, -1):
+            for y in (0, 1):
+                b[k, y] = np.logaddexp(b[k + 1, 0] + t[y, 0], b[k + 1, 1] + unary[k + 1] + t[y, 1])
+        whole = 1 / (1 + np.exp((a + b)[:, 0] - (a + b)[:, 1]))
+        assert np.abs(whole - p[doc == i]).max() < 1e-3
+        top = float(np.clip(whole.max(), 1e-4, 1 - 1e-4))
+        assert x[i, 1] == pytest.approx(np.log(top / (1 - top)) / 4, abs=0.05)
+    score = 1 / (1 + np.exp(-(x @ model.doc)))
+    assert ((score >= 0.5) == (np.array(toxic) > 0)).mean() > 0.97
+
+
+def test_paragraphs_equal_all_pairs(spark):
+    """Links by all pairs of shingle sets, runs and components, from the same cut of texts into paragraphs."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = []
+    for i, t in docs:
+        words, _, head, size, _, _ = paragraphs.paragraphs([(t or "").encode()])
+        keep = [k for k in range(len(head)) if size[k] >= 5]
+        for number, k in enumerate(keep):
+            w = tuple(words[head[k] : head[k] + size[k]].tolist())
+            rows.append(((i, number), w, frozenset(w[j : j + 5] for j in range(len(w) - 4))))
+    sets = {w: s for _, w, s in rows}
+    holders, links = {}, []
+    for w, s in sets.items():
+        shared = {}
+        for g in s:
+            for other in holders.setdefault(g, []):
+                shared[other] = shared.get(other, 0) + 1
+            holders[g].append(w)
+        links += [(w, o) for o, both in shared.items() if 100 * both >= 80 * (len(s) + len(sets[o]) - both) and min(len(w), len(o)) >= paragraphs.LEAST_FUZZY]
+    comp = brute.reach(sets, links)
+    count = {}
+    for _, w, _ in rows:
+        count[comp[w]] = count.get(comp[w], 0) + 1
+    many = [(at, w) for at, w, _ in rows if count[comp[w]] > 1]
+    runs, run = {}, 0
+    last = None
+    for at, w in sorted(many):
+        run += last is None or last[0] != at[0] or at[1] - last[1] > 1
+        runs.setdefault(run, []).append((at, w))
+        last = at
+    left = [(at, comp[w]) for part in runs.values() if sum(len(w) for _, w in part) >= 30 for at, w in part]
+    groups = {}
+    for at, c in left:
+        groups.setdefault(c, []).append(at)
+    want = {at: min(g) for g in groups.values() if len(g) > 1 for at in g}
+    got = {(r["doc_id"], r["paragraph"]): r["component_id"] for r in paragraphs.repeated_paragraphs(frame(spark, docs)).collect()}
+    wrong = sum(got.get(at) != first[0] for at, first in want.items()) + sum(at not in want for at in got)
+    assert want and wrong <= len(want) // 50  # banding may miss a link in a hundred
+
+
+def test_licence_scores_equal_plain_cosines(spark):
+    """Scores of header lines against a plain TF-IDF over the same lines."""
+    files = [(f"d{k}/f", t) for k, t in enumerate(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.\n\ncode", "copyright 2020 somebody else entirely, all rights reserved", "Licensed under CC BY 4.0.", "nothing", None, ""])]
+    got = {r["path"]: (r["license"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+
+    def words(x):
+        return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", x.lower())
+
+    header = re.compile(licenses.HEADER.replace("(?i)", ""), re.I)
+    lines = {}
+    for path, t in files:
+        found = {x.strip() for x in (t or "").split("\n") if header.search(x)} | {" ".join(p.split()) for p in re.split(r"\n\n+", t or "") if header.search(p)}
+        for x in found:
+            lines.setdefault(x, []).append(path)
+    corpus = [x for x, p in lines.items() for _ in p] + [x for _, x in licenses.TEMPLATES]
+    df = {}
+    for x in corpus:
+        for w in set(words(x)):
+            df[w] = df.get(w, 0) + 1
+
+    def vector(x):
+        v = {w: words(x).count(w) * (np.log((1 + len(corpus)) / (1 + df[w])) + 1) for w in set(words(x))}
+        size = np.sqrt(sum(y * y for y in v.values()))
+        return {w: y / size for w, y in v.items()}
+
+    for x, paths in lines.items():
+        v = vector(x)
+        best = max(sum(y * t.get(w, 0) for w, y in v.items()) for t in (vector(t) for _, t in licenses.TEMPLATES))
+        for p in paths:
+            if p in got:
+                assert got[p][1] == pytest.approx(best, abs=1e-3)
+            else:
+                assert best < 0.5
+    assert {p for p, _ in got.items()} >= {"d0/f", "d1/f", "d3/f"}
+
+
 def test_empty_embeddings(spark):
     assert covertree.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
