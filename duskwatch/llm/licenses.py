@@ -76,7 +76,7 @@ def header_licences(spark: SparkSession, lines: DataFrame, least: float) -> Data
     Inverse document frequencies count the lines of all files and the templates; of equal cosines the first name wins."""
     literal = F.array(*[F.struct(F.lit(f"{n}#{i}").alias("k"), F.lit(x).alias("line")) for i, (n, x) in enumerate(TEMPLATES)])
     templates = spark.range(1).select(F.inline(literal))
-    kinds = written(lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("k", F.sha2("line", 256)))
+    kinds = written(lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("k", F.monotonically_increasing_id()))  # written, so numbers stay
     seen = kinds.select("n", F.explode(F.array_distinct(tokens(F.col("line")))).alias("token")).unionByName(templates.select(F.lit(1).cast("long").alias("n"), F.explode(F.array_distinct(tokens(F.col("line")))).alias("token")))
     total = (kinds.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
     weights = written(seen.groupBy("token").agg(F.sum("n").alias("df")).select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
