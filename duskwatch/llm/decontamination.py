@@ -158,7 +158,11 @@ class Items:
             tail = np.concatenate([head[1:], [len(k)]]) - 1
             good = (w[tail] != w[head]) | (np.maximum.reduceat(s, head) >= ALONE)
             out.update(zip(self.item[w[head[good]]].tolist(), b[head[good]].tolist(), strict=True))
-        return sorted(out)
+        kept: list[tuple[int, int]] = []
+        for item, start in sorted(out):  # what is verified reaches 64 bytes beyond either end, so places this near are one
+            if not kept or kept[-1][0] != item or start - kept[-1][1] > 48:
+                kept.append((item, start))
+        return kept
 
     def whole(self, buf: np.ndarray) -> list[tuple[int, int]]:
         """(item, start in buf) of every short item that stands in buf as whole words."""
