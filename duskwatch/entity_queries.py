@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import graph
 from .queries import EV, HO, n, query, when_n
+from .sources import feeds
 from .sources.tables import events, hosts, table
+from .streaming import changepoints
 
 #: Devices as the resolver sees them: an address, a hardware address that some share, a host name, a fingerprint, and when they were last seen.
 DEVICES = """dev AS (SELECT c_custkey AS id, 'mac-' || (c_custkey * 7 % 1301) AS mac, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'host-' || (c_custkey * 11 % 907) END AS host, c_mktsegment AS print,
@@ -448,3 +450,37 @@ def inject_sweep(s, d):
     rows = events(s, d).where("event_type = 'purchase'").select("value", F.inline(kinds))
     hit = when_n(F.col("value") + F.col("boost") > 250)
     return rows.groupBy("attack").agg(n().alias("injected"), hit.alias("caught"), F.round(hit / n(), 6).alias("recall"))
+
+
+# --- rulesets, change points, forests
+
+
+@query("SELECT page_id, lower(host) AS name FROM ho WHERE host <> ''", HO)
+def hex_decode(s, d):
+    """Names written as rule content in hex between bars, read back."""
+    coded = F.concat(F.lit("|"), F.trim(F.regexp_replace(F.hex("host"), "(..)", "$1 ")), F.lit("|"))
+    return hosts(s, d).where("host <> ''").select("page_id", feeds.hex_decode(coded).alias("name"))
+
+
+@query("SELECT kind, value, category FROM (SELECT DISTINCT 'domain' AS kind, host AS value, 'class-' || page_id % 3 AS category FROM ho WHERE regexp_full_match(host, '([a-z0-9_-]+\\.)+[a-z]{2,}') UNION SELECT DISTINCT 'ip', (10 + page_id % 3) || '.1.2.' || page_id % 200, 'class-' || page_id % 3 FROM ho WHERE page_id % 3 <> 0)", HO)
+def rule_extract(s, d):
+    """Names and public addresses of rule lines made from the pages; private addresses are left out."""
+    third = (F.col("page_id") % 3).cast("string")
+    line = F.concat(F.lit("alert tcp any any -> "), (10 + F.col("page_id") % 3).cast("string"), F.lit(".1.2."), (F.col("page_id") % 200).cast("string"), F.lit(' any (content:"|'), F.hex("host"), F.lit('|"; classtype:class-'), third, F.lit(";)"))
+    return feeds.rule_indicators(hosts(s, d).select(line.alias("value")))
+
+
+@query()
+def bocpd(s, d):
+    """Days on which a device's daily total begins a new regime."""
+    daily = events(s, d).groupBy("user_id", "day").agg(F.sum("value").alias("total"))
+    return changepoints.change_points(daily)
+
+
+@query()
+def iforest_scores(s, d):
+    """Isolation scores of every device and week, a forest for each kind of device."""
+    e = events(s, d).withColumn("week", F.floor(F.col("day") / 7).cast("long"))
+    f = e.groupBy("user_id", "week").agg(n().cast("double").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top"), F.countDistinct("k").cast("double").alias("targets"), when_n(F.col("event_type") == "error").cast("double").alias("errors"))
+    f = f.withColumn("kind", (F.col("user_id") % 5).cast("long"))
+    return changepoints.isolation_scores(f, "kind", ["n", "total", "top", "targets", "errors"], ["user_id", "week"])
