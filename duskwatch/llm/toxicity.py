@@ -117,7 +117,9 @@ class Crf:
             low, _, starts, ends, doc = tokens(texts[a:b])
             f = features(low, starts, ends)
             label = marks[f].any(axis=1) & (toxic[a + doc] > 0)
-            edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+            if not len(doc):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             for s, e in zip(edge, [*edge[1:], len(doc)], strict=True):
                 for k in range(s, e, TRAIN_CHUNK):
                     stop = min(k + TRAIN_CHUNK, e)
