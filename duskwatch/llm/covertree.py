@@ -13,7 +13,7 @@ from .work import components, written
 CELL = 4096
 #: The tree's centres come from at most this many vectors (smallest hashes of the ids), and there are at most MAX_LEAVES.
 SAMPLE, MAX_LEAVES = 8192, 1024
-#: Visitors compared with a cell at once, in a tree of their own.
+#: Visitors compared with a cell at once.
 STEP = 1024
 #: Vectors of a node that is not split any more; from so many pairs of children on two nodes meet in a matrix product.
 LEAF, BLOCK_PAIRS = 16, 4096
@@ -164,13 +164,25 @@ class Cover:
         self.order = np.concatenate([m for _, m in nodes]) if nodes else np.zeros(0, np.int64)
         self.levels[-1]["first"] = np.concatenate([[0], np.cumsum([len(m) for _, m in nodes])]).astype(np.int64)
 
+    @classmethod
+    def star(cls, x: np.ndarray) -> Cover:
+        """The smallest cover tree of vectors that only visit: a root and every vector below it, with radius 0."""
+        tree = cls.__new__(cls)
+        n = len(x)
+        far = np.sqrt(max(0.0, float((2 - 2 * x @ x[0]).max()))) if n else 0.0
+        root = {"centre": np.zeros(min(n, 1), np.int64), "radius": np.array([far][: min(n, 1)]), "first": np.array([0, n][: min(n, 1) + 1])}
+        tree.x, tree.order = x, np.arange(n)
+        tree.levels = [root, {"centre": np.arange(n), "radius": np.zeros(n), "first": np.arange(n + 1)}]
+        return tree
+
     def _split(self, centre: int, members: np.ndarray, target: float) -> list[tuple[int, np.ndarray]]:
         """Children within ``target``: the centre, then whatever is farthest from all centres so far, until all are covered."""
         part = self.x[members]
+        gram = part @ part.T if len(part) <= STEP else None  # one product instead of one for each centre
         near, owner, centres = 2 - 2 * part @ self.x[centre], np.zeros(len(members), np.int64), [centre]
         while near.max() > target * target:
             k = int(near.argmax())
-            gap = 2 - 2 * part @ part[k]
+            gap = 2 - 2 * (part @ part[k] if gram is None else gram[k])
             gap[k] = 0
             closer = gap < near
             owner[closer] = len(centres)
@@ -204,7 +216,7 @@ def _met(pairs, first_a, first_b, xa, xb, reach, same):
             cos = xa(rows) @ xb(js).T
             measured += cos.size
             # a quick bound first: the pair with the widest reach
-            i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * cos)) <= reach(None, None))
+            i, j = np.nonzero(cos >= 1 - reach(None, None) ** 2 / 2)
             out.append(keep(rows[i], js[j], cos[i, j], np.full(len(i), bool(same and a[k] == b[k]))))
     rest = np.flatnonzero(~large)
     count = (na * nb)[rest]
@@ -300,7 +312,7 @@ def _linked(kind: str, least: float):
                 elif ids is not None:
                     for k in range(s, e, STEP):
                         stop = min(k + STEP, e)
-                        u, v, _ = near_pairs(tree, Cover(vec[k:stop]), least)
+                        u, v, _ = near_pairs(tree, Cover.star(vec[k:stop]), least)
                         out = forest(ids, bid[k:stop], u, v, False)
                         if out is not None:
                             yield out
@@ -316,7 +328,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: s
     A cover tree over nested centres with halving radii (drawn from a bounded sample) houses every vector in a leaf; covering
     radii come from all vectors. Dual traversal prunes node pairs that no link can span, and a vector visits another leaf only if
     the leaf's radius allows it. Large leaves are split into cells, each pair of vectors meets in one cell. A cell's vectors form a cover tree of
-    their own, as do its visitors, and dual traversal of these finds the pairs; cells emit counts and a spanning forest instead of pairs. Cosines
+    their own, its visitors one of two levels, and dual traversal of these finds the pairs; cells emit counts and a spanning forest instead of pairs. Cosines
     are decided in double precision.
 
     Null or empty vectors, zero vectors and those with null, NaN or infinite components link with nothing, nor do vectors of

@@ -385,8 +385,9 @@ def test_cover_trees_find_all_pairs(n, dim, copies, least):
     u, v, _ = covertree.near_pairs(tree, tree, least)
     assert {(i, j) for i, j in zip(*np.nonzero(np.triu(cos >= least, 1)), strict=True)} == set(zip(u, v, strict=True))
     half = len(x) // 2
-    u, v, _ = covertree.near_pairs(covertree.Cover(x[:half]), covertree.Cover(x[half:]), least)
-    assert {(i, j - half) for i, j in zip(*np.nonzero(np.triu(cos >= least, 1)), strict=True) if i < half <= j} == set(zip(u, v, strict=True))
+    for other in (covertree.Cover, covertree.Cover.star):
+        u, v, _ = covertree.near_pairs(covertree.Cover(x[:half]), other(x[half:]), least)
+        assert {(i, j - half) for i, j in zip(*np.nonzero(np.triu(cos >= least, 1)), strict=True) if i < half <= j} == set(zip(u.tolist(), v.tolist(), strict=True))
 
 
 def test_embeddings_of_extreme_size_and_clashing_columns(spark):
