@@ -51,9 +51,15 @@ RDEV = "RECURSIVE " + DEVICES
 
 
 def grouped(s, d) -> DataFrame:
-    """(id, component) of every device."""
-    e = links(s, d).where("score >= 0.45").select("a", "b")
-    found = graph.components(e)
+    """(id, component) of every device.
+
+    A hardware address alone reaches the score (0.55), a name only with the fingerprint (0.35 + 0.1), so the groups follow from links of each device to the
+    smallest id with its address and to the smallest with its name and fingerprint: one row a device, however many share a key."""
+    both = F.concat_ws("\x01", F.lit("name"), "host", "print")
+    named = F.array(F.concat(F.lit("mac\x01"), "mac"), F.when(F.col("host").isNotNull() & F.col("print").isNotNull(), both))
+    keys = devices(s, d).select("id", F.explode(named).alias("key")).where("key IS NOT NULL")
+    heads = keys.groupBy("key").agg(F.min("id").alias("a"))
+    found = graph.components(keys.join(heads, "key").select("a", F.col("id").alias("b")))
     return devices(s, d).select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

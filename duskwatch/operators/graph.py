@@ -2,53 +2,54 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in ``spark.checkpoint.dir``; one of our own is set only where everything runs in one process (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duskwatch-"))
+from .stored import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of the undirected ``edges`` (a, b); component is the smallest id reachable.
 
-    Labels go down along edges and then along themselves until none moves; each round is a grouped minimum and two joins, cut by a checkpoint."""
-    shared_checkpoints(edges.sparkSession)
-    both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).select(F.col("a").alias("id"), "component").checkpoint()
-    while True:
-        label = now.select(F.col("id").alias("b"), F.col("component").alias("near"))
-        low = both.join(label, "b").groupBy("a").agg(F.min("near").alias("low")).withColumnRenamed("a", "id")
-        step = now.join(low, "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("id", F.least("component", "further").alias("component"), "old").checkpoint()
-        now = step.drop("old")
-        if not step.where("component <> old").limit(1).count():
-            return now
+    Large-star and small-star rounds over written tables: each round is two grouped minima with a join, so no vertex's neighbours are gathered in one
+    place and a hub's rows can be split by the skew join. Rounds follow the logarithm of the longest path. Loops and null ends link nothing.
+    """
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = mark(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = written(small.where("a <> b").distinct())
+        dropped(now, large)
+        now, after = small, mark(small)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def canonical(redirects: DataFrame, source: str, target: str, rounds: int = 40) -> DataFrame:
     """``redirects`` (one target for each source) with ``canonical``, the end of each chain.
 
     Pointer jumping: each round replaces a target by its target's target, so a chain of length n takes log2 n rounds of one
-    equality join, each cut by a checkpoint. Null ends are left out. A cycle never settles; it raises ValueError.
+    equality join, each over a table written anew. Null ends are left out. A cycle never settles; it raises ValueError.
     """
-    shared_checkpoints(redirects.sparkSession)
-    now = redirects.where(F.col(source).isNotNull() & F.col(target).isNotNull()).withColumn("canonical", F.col(target))
+    rows = redirects.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    now = written(rows.select(F.col(source).alias("at"), F.col(target).alias("to")))
     for _ in range(rounds):
-        step = now.select(F.col(source).alias("__at"), F.col("canonical").alias("__to"))
-        now = now.join(step, F.col("canonical") == F.col("__at"), "left").withColumn("__moved", F.col("__to").isNotNull())
-        now = now.withColumn("canonical", F.coalesce("__to", "canonical")).drop("__at", "__to").checkpoint()
-        moved = now.where("__moved").limit(1).count()
-        now = now.drop("__moved")
-        if not moved:
-            return now
+        step = now.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        after = written(now.join(step, "to", "left").select("at", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        dropped(now)
+        now = after
+        if not now.where("moved").limit(1).count():
+            ends = now.select(F.col("at").alias(source), F.col("to").alias("canonical"))
+            return rows.drop("canonical").join(ends, source)
     raise ValueError("a chain of redirects does not end: it holds a cycle")

@@ -1,9 +1,12 @@
 """Joins, windows and scalars on tables with nulls, ties, repeats and boundary values."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.functions import scalars as S
-from duskwatch.operators import joins, windows
+from duskwatch.operators import graph, joins, windows
 
 
 def test_asof_takes_the_latest_not_after(spark):
@@ -56,3 +59,22 @@ def test_address_classes(spark):
 def test_entropy(spark):
     df = spark.createDataFrame([("aaaa", 0.0), ("abab", 1.0), ("abcd", 2.0)], "label string, want double")
     assert all(abs(r["got"] - r["want"]) < 1e-9 for r in df.withColumn("got", S.entropy(F.col("label"))).collect())
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    path = spark.range(1, 100_000).select((F.col("id") * 7919 % 100_003).alias("a"), ((F.col("id") + 1) * 7919 % 100_003).alias("b"))
+    hub = spark.range(200_001, 220_000).select(F.lit(200_000).cast("long").alias("a"), F.col("id").alias("b"))
+    odd = spark.createDataFrame([(5_000_000, 5_000_000), (None, 3), (7, None)], "a long, b long")
+    began = time.time()
+    found = graph.components(path.unionByName(hub).unionByName(odd)).groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()
+    assert sorted((r["component"], r["n"]) for r in found) == [(min(i * 7919 % 100_003 for i in range(1, 100_001)), 100_000), (200_000, 20_000)]
+    assert all(r["component"] == r["low"] for r in found) and time.time() - began < 120
+
+
+def test_redirects_follow_long_chains_and_refuse_cycles(spark):
+    rows = [(i, i - 1, "x") for i in range(1, 3000)] + [(5000, 4000, "y"), (None, 4, "z"), (6, None, "z")]
+    rows.remove((6, 5, "x"))
+    got = {r["id"]: r["canonical"] for r in graph.canonical(spark.createDataFrame(rows, "id long, into long, note string"), "id", "into").collect()}
+    assert got == {i: 6 if i > 6 else 0 for i in range(1, 3000) if i != 6} | {5000: 4000}
+    with pytest.raises(ValueError):
+        graph.canonical(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, into long"), "id", "into", rounds=6)
