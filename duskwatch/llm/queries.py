@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity
+from . import alignment, covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -73,10 +73,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_replace(F.substring_index("path", "/", -1), "^LICENSE-", "").cast("long"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_substring_dedup, op5_line_dedup,
         op6_source_mixing, op7_toxicity_crf, op8_suffix_array_dedup, op9_pii_surrogates, op10_license_scan,
+        op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
