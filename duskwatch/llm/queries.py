@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity
+from . import alignment, covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity, urls
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -73,6 +73,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_replace(F.substring_index("path", "/", -1), "^LICENSE-", "").cast("long"))
 
 
+#: The rules of the URL filter (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Words of a host's name whose pages stand for a published list of URLs to block, as the tables hold no such list.
+LISTED = "ads adult bet bets casino pills porn spam xxx"
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    names = F.split(urls.host(F.col("url")), "[.-]")
+    listed = pages.where(F.arrays_overlap(names, F.split(F.lit(LISTED), " "))).select("url")
+    return urls.judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -81,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_substring_dedup, op5_line_dedup,
         op6_source_mixing, op7_toxicity_crf, op8_suffix_array_dedup, op9_pii_surrogates, op10_license_scan,
-        op13_cross_tokenizer_alignment,
+        op12_url_filter, op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
@@ -118,5 +131,23 @@ FROM documents d JOIN reach ON reach.id = d.doc_id LEFT JOIN sizes ON sizes.doc_
 """
 
 
+SHAPE = urls.SHAPE
+OP12_SQL = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id, url, translate(coalesce(regexp_extract(url, '{SHAPE}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    coalesce(regexp_extract(url, '{SHAPE}', 2), '') AS path, string_split(substr(coalesce(regexp_extract(url, '{SHAPE}', 3), ''), 2), '&') AS asked FROM pages
+), named AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || '?'
+    || array_to_string(list_sort(list_filter(asked, lambda x: x <> '' AND NOT regexp_matches(x, '{urls.TRACKING}'))), '&') END AS name FROM u
+), listed AS (SELECT DISTINCT name FROM named WHERE list_has_any(regexp_split_to_array(host, '[.-]'), string_split('{LISTED}', ' '))
+), rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), best AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN name IN (SELECT name FROM listed WHERE name IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict,
+  rule IS NULL AND coalesce(name IN (SELECT name FROM listed WHERE name IS NOT NULL), false) AS listed FROM named LEFT JOIN best USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_source_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}
+    return {"op12_url_filter": OP12_SQL, "op2_embedding_near_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_source_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}
