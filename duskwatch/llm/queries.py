@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, covertree, decontamination, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity, urls
+from . import alignment, covertree, decontamination, divergence, licenses, lines, minhash, mixing, paragraphs, suffixes, surrogates, toxicity, urls
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -73,6 +73,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_replace(F.substring_index("path", "/", -1), "^LICENSE-", "").cast("long"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the URL filter (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Words of a host's name whose pages stand for a published list of URLs to block, as the tables hold no such list.
@@ -94,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_substring_dedup, op5_line_dedup,
         op6_source_mixing, op7_toxicity_crf, op8_suffix_array_dedup, op9_pii_surrogates, op10_license_scan,
-        op12_url_filter, op13_cross_tokenizer_alignment,
+        op11_source_divergence, op12_url_filter, op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
@@ -131,6 +135,26 @@ FROM documents d JOIN reach ON reach.id = d.doc_id LEFT JOIN sizes ON sizes.doc_
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), occ AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS c FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), groups AS (SELECT DISTINCT lang, source FROM d
+), whole AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang
+), counts AS (SELECT lang, source, term, count(*) AS c FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sums AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(t.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(t.c, 0) + 5) // (s.n + 5 * w.v) AS p, 1 + 1000000000::HUGEINT * (k.c + 5) // (w.n + 5 * w.v) AS q
+  FROM sums s JOIN whole w ON w.lang = s.lang JOIN kept k ON k.lang = s.lang LEFT JOIN counts t ON t.lang = s.lang AND t.source = s.source AND t.term = k.term
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE c > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
 SHAPE = urls.SHAPE
 OP12_SQL = rf"""
 WITH u AS (
@@ -150,4 +174,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN name IN (SELECT na
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_url_filter": OP12_SQL, "op2_embedding_near_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_source_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}
+    return {"op11_source_divergence": OP11_SQL, "op12_url_filter": OP12_SQL, "op2_embedding_near_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_source_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}

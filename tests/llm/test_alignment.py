@@ -99,3 +99,20 @@ def test_slices_hold_every_id():
 
     assert alignment.slices(np.array([3, 0, 4, 9, 1, 1]), 5) == [2, 3, 4, 6]
     assert alignment.slices(np.zeros(4, int), 5) == [4]
+
+
+def test_runs_of_a_batch_count_like_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    two = alignment.tokenizers_of(open(A, "rb").read(), open(B, "rb").read())
+    rows = ODD + noise(80)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    span, found = len(two.bytes_a) * len(two.bytes_b), []
+    for most in (10**7, 400):
+        monkeypatch.setattr(alignment, "AT_ONCE", most)
+        each = [(run, *alignment.linked_texts(run, span)) for run in alignment.runs(batch, two)]
+        pair, docs = alignment.tallied(np.concatenate([k for _, k, _ in each]), np.concatenate([n for _, _, n in each]))
+        scores = pa.Table.from_batches([alignment.scores(batch, run, pair, docs, docs > 2) for run, _, _ in each])
+        found.append((pair.tolist(), docs.tolist(), scores.to_pylist()))
+    assert len(each) > 10 and found[0] == found[1]
