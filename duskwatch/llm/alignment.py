@@ -92,7 +92,10 @@ def cuts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     at = at[(at >= 3) & (buf[at + 1] > 0x20)]
     before = buf[at - 1]
     wide = (before >= 0x80) & ((buf[at - 3] - np.uint8(0xE1) < 3) | ((buf[at - 2] == 0xC2) & ((before == 0x85) | (before == 0xA0))))  # may be white space beyond ASCII
-    return np.union1d(at[(before > 0x20) & ~wide], starts)
+    begins = np.zeros(len(buf), bool)
+    begins[at[(before > 0x20) & ~wide]] = True
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,6 +114,25 @@ def tallied(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Different keys in order; sorting beats hashing here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def flat_ids(each: list[list[int]], known: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words end to end, how many each word has, and where each token ends in the words' bytes end to end."""
+    many = np.fromiter(map(len, each), np.int64, len(each))
+    ids = np.fromiter(chain.from_iterable(each), np.int64, int(many.sum()))
+    return ids, many, np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[ids])
+
+
+def given_back(ids: np.ndarray, known: list[bytes], many: np.ndarray, ends: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> bool:
+    """Whether every word's tokens give back its bytes: all bytes are the same and each word's tokens end where it ends."""
+    to = np.concatenate([[0], ends])[np.cumsum(many)]
+    return bool((to == np.cumsum(sizes)).all()) and b"".join(map(known.__getitem__, ids.tolist())) == b"".join(raw)
+
+
 class Aligned(NamedTuple):
     """Different words of a run: counts of tokens, groups and links, the groups as text (each with a ``;`` at its end), and links as (pair, times) from link_at[w]."""
 
@@ -130,16 +152,18 @@ def aligned(words: list[str], two: Pair) -> Aligned:
     """
     a, b = two.encode_a(words), two.encode_b(words)
     raw = [w.encode() for w in words]
-    valid = np.fromiter((b"".join(map(two.bytes_a.__getitem__, x)) == w == b"".join(map(two.bytes_b.__getitem__, y)) for x, y, w in zip(a, b, raw)), bool, len(words))
-    if not valid.all():
-        a, b, raw = ([x if ok else none for x, ok in zip(each, valid)] for each, none in ((a, []), (b, []), (raw, b"")))
-    len_a, len_b, len_w = (np.fromiter(map(len, x), np.int64, len(words)) for x in (a, b, raw))
-    ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(k.sum())) for x, k in ((a, len_a), (b, len_b)))
+    (ids_a, len_a, ends_a), (ids_b, len_b, ends_b), len_w = flat_ids(a, two.bytes_a), flat_ids(b, two.bytes_b), np.fromiter(map(len, raw), np.int64, len(raw))
+    valid = np.ones(len(words), bool)
+    if not given_back(ids_a, two.bytes_a, len_a, ends_a, raw, len_w) or not given_back(ids_b, two.bytes_b, len_b, ends_b, raw, len_w):
+        same = (b"".join(map(two.bytes_a.__getitem__, x)) == w == b"".join(map(two.bytes_b.__getitem__, y)) for x, y, w in zip(a, b, raw))
+        valid = np.fromiter(same, bool, len(words))
+        (ids_a, len_a, ends_a), (ids_b, len_b, ends_b) = (flat_ids([x if ok else [] for x, ok in zip(each, valid)], known) for each, known in ((a, two.bytes_a), (b, two.bytes_b)))
+        len_w = len_w * valid
     size = len(two.bytes_b)
     label = np.zeros(int(len_w.sum()), np.uint8)
-    label[np.cumsum(np.fromiter(map(len, two.bytes_a), np.int64, len(two.bytes_a))[ids_a]) - 1] |= 1
-    label[np.cumsum(np.fromiter(map(len, two.bytes_b), np.int64, size)[ids_b]) - 1] |= 2
-    ends = np.fromiter((m.end() for m in SPAN.finditer(LABELS[label].tobytes())), np.int64)
+    label[ends_a - 1] |= 1
+    label[ends_b - 1] |= 2
+    ends = np.cumsum(np.fromiter(map(len, SPAN.findall(LABELS[label].tobytes())), np.int64))
     to_a, to_b = (np.concatenate([[0], np.cumsum((label & bit) > 0)])[ends] for bit in (1, 2))
     in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
     word = np.searchsorted(np.cumsum(len_w), ends, "left")
@@ -207,11 +231,11 @@ def linked_texts(run: Run, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs of a run and the number of its texts that hold each."""
     text = np.repeat(np.arange(len(run.valid)), np.diff(run.at))
     keep = run.valid[text]
-    held = np.unique(text[keep] * len(run.words.valid) + run.codes[keep])
+    held = distinct(text[keep] * len(run.words.valid) + run.codes[keep])
     word = held % max(len(run.words.valid), 1)
     many = np.diff(run.words.link_at)[word]
     pair = run.words.pair[ragged(run.words.link_at[word], many)]
-    once = np.unique(np.repeat(held // max(len(run.words.valid), 1), many) * span + pair) % span
+    once = distinct(np.repeat(held // max(len(run.words.valid), 1), many) * span + pair) % span
     return tallied(once, np.ones(len(once), np.int64))
 
 
