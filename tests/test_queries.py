@@ -1,6 +1,6 @@
 import pytest
 
-from duskwatch import cycle_queries, entity_queries, identity_queries  # noqa: F401  (registers their queries)
+from duskwatch import cycle_queries, entity_queries, identity_queries, lifecycle_queries, model_queries  # noqa: F401  (registers their queries)
 from duskwatch import queries as library
 
 from .compare import differences, duck
