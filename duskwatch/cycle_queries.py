@@ -1,6 +1,6 @@
 """Queries of device cycles: features, detectors, hypotheses, the decision and what follows from it, each beside the SQL that it must equal.
 
-The SQL of the features is written apart from the plan; the rule tables of ``plans.cycles`` are SQL and stand in both, and tests hold them against worked cases.
+The SQL side is written by hand, apart from the plan's rule tables: features here, detectors, hypotheses and the decision in ``cycle_oracle``.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cycle_oracle import decision_sql, detector_sql
 from .plans import cycles as C
 from .queries import EV, HO, QUERIES, SQL, query, when_n
 from .sources.tables import events, hosts, table
@@ -25,24 +26,21 @@ FEATURES = """wk AS (SELECT *, CAST(floor(day / 7.0) AS BIGINT) AS week FROM ev)
  sums AS (SELECT user_id, week, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks,
    count(*) FILTER (event_type = 'purchase') AS buys, count(*) FILTER (event_type = 'signup') AS signups, count(DISTINCT k) FILTER (event_type = 'error') AS rejected, round(sum(value), 4) AS total, max(value) AS top,
    count(DISTINCT k) FILTER (event_type = 'purchase' AND k BETWEEN 20 AND 39) AS moves, count(*) FILTER (k = 13) AS decoys, count(*) FILTER (k % 25 = 3) AS geo, count(*) FILTER (k % 17 = 0 AND k > 0) AS tls,
-   count(*) FILTER (k % 11 = 4 AND event_type = 'error') AS alerts, count(*) FILTER (k >= 70) AS unexplained FROM wk GROUP BY 1, 2),
+   count(*) FILTER (k % 11 = 4 AND event_type = 'error') AS alerts, count(*) FILTER (k >= 70) AS unexplained,
+   coalesce(nullif(count(DISTINCT event_type) FILTER (k = 57), 0) - 1, 0) AS flips, max(t) - max(t) FILTER (k % 25 = 3) AS geo_age, max(t) - max(t) FILTER (k % 11 = 4 AND event_type = 'error') AS alert_age, max(t) - max(t) FILTER (k = 57) AS spoof_age FROM wk GROUP BY 1, 2),
+ born AS (SELECT k AS top_k, min(week) AS week FROM wk WHERE k IS NOT NULL GROUP BY 1),
  touch AS (SELECT k AS top_k, week, count(DISTINCT user_id) - 1 AS others FROM wk GROUP BY 1, 2),
  fe AS (SELECT *, user_id % 5 AS kind, round(most_n / n, 6) AS share, coalesce(top_k % 6, 3) AS tier, coalesce(top_k % 12 = 5, false) AS verified, round(coalesce(top_k % 7, 0) / 7.0 * 4, 6) AS risk,
    round(CASE WHEN count(*) OVER past >= 2 THEN greatest(0.0, (total - avg(total) OVER past) / greatest(stddev_pop(total) OVER past, 1.0)) ELSE 0.0 END, 6) AS z,
    round(least(1.0, (count(*) OVER past) / 4), 6) AS familiarity, count(*) OVER (PARTITION BY user_id % 5, week) - 1 AS peers,
    round((sum(n) OVER (PARTITION BY user_id % 5, week) - n) / nullif(count(*) OVER (PARTITION BY user_id % 5, week) - 1, 0), 6) AS peer_mean
-   FROM (SELECT sums.*, spread.* EXCLUDE (user_id, week), main.* EXCLUDE (user_id, week), gaps.* EXCLUDE (user_id, week), coalesce(others, 0) AS others
-     FROM sums JOIN spread USING (user_id, week) JOIN main USING (user_id, week) JOIN gaps USING (user_id, week) LEFT JOIN touch ON touch.top_k = main.top_k AND touch.week = sums.week)
+   FROM (SELECT sums.*, spread.* EXCLUDE (user_id, week), main.* EXCLUDE (user_id, week), gaps.* EXCLUDE (user_id, week), coalesce(others, 0) AS others, coalesce(born.week = sums.week, false) AS young
+     FROM sums JOIN spread USING (user_id, week) JOIN main USING (user_id, week) JOIN gaps USING (user_id, week) LEFT JOIN touch ON touch.top_k = main.top_k AND touch.week = sums.week LEFT JOIN born ON born.top_k = main.top_k)
    WINDOW past AS (PARTITION BY user_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def _layer(name: str, source: str, rules: dict[str, str], digits: int | None = None) -> str:
-    return f"{name} AS (SELECT *, " + ", ".join(f"{C.rounded(k, e, digits)} AS {k}" for k, e in rules.items()) + f" FROM {source})"
-
-
-DET = ", ".join([FEATURES, _layer("de0", "fe", C.DETECTORS, 6), _layer("de", "de0", C.COMPOSED, 6)])
-_names = ["de", "l1", "l2", "l3", "dc"]
-DEC = ", ".join([DET, *(_layer(b, a, rules) for a, b, rules in zip(_names[:-1], _names[1:], C.layers(), strict=True))])
+DET = ", ".join([FEATURES, detector_sql("fe", "de")])
+DEC = ", ".join([DET, decision_sql("de", "dc")])
 
 
 def cycles(s, d):
@@ -57,7 +55,7 @@ def decisions(s, d):
     return C.decided(evidence(s, d))
 
 
-FEATURE_COLUMNS = ["n", "errors", "views", "clicks", "buys", "signups", "targets", "rejected", "total", "top", "entropy", "longest", "top_k", "share", "gap_mean", "gap_cv", "z", "peers", "peer_mean", "familiarity", "others"]
+FEATURE_COLUMNS = ["n", "errors", "views", "clicks", "buys", "signups", "targets", "rejected", "total", "top", "entropy", "longest", "top_k", "share", "gap_mean", "gap_cv", "z", "peers", "peer_mean", "familiarity", "others", "flips", "geo_age", "alert_age", "spoof_age", "young"]
 
 
 @query(f"SELECT user_id, week, {', '.join(FEATURE_COLUMNS)} FROM fe", EV, HO, FEATURES)
@@ -69,7 +67,7 @@ def cycle_features(s, d):
 FIRINGS = {
     "cycle_rate": ("c_rate", "n"), "det_entropy": ("c_entropy", "entropy"), "det_unique": ("c_unique", "targets"), "det_dga": ("c_dga", "errors"), "det_tunnel": ("c_tunnel", "t_encoded", "t_fanout", "t_txt", "t_tld"),
     "det_exfil": ("c_exfil", "z", "total"), "det_beacon": ("c_beacon", "beacon_tag"), "det_conn_abuse": ("c_abuse", "rejected"), "cycle_sweep": ("c_sweep", "targets"), "det_long": ("c_long", "top"), "det_tls": ("c_tls", "tls"),
-    "det_decoy": ("c_decoy", "decoys"), "det_lateral": ("c_lateral", "moves"), "det_discovery": ("c_discovery", "signups"), "det_geofence": ("c_geofence", "geo"), "sig_attribution": ("c_signature", "alerts"), "det_evasion": ("c_evasion", "unexplained"),
+    "det_decoy": ("c_decoy", "decoys"), "det_spoof": ("c_spoof", "flips"), "det_lateral": ("c_lateral", "moves"), "det_discovery": ("c_discovery", "signups"), "det_geofence": ("c_geofence", "geo"), "sig_attribution": ("c_signature", "alerts"), "det_evasion": ("c_evasion", "unexplained"),
     "det_peer": ("c_peer", "peer_mean"), "det_coordinated": ("c_coordinated", "others"),
 }
 
@@ -117,7 +115,7 @@ def hyp_edges(s, d):
 # --- evidence as rows, alert views
 
 CONFIDENCES = [c for c in [*C.DETECTORS, *C.COMPOSED] if c.startswith("c_")]
-FAMILY_OF = {"rate": "dns", "entropy": "dns", "unique": "dns", "dga": "dns", "tunnel": "dns", "evasion": "dns", "exfil": "traffic", "beacon": "traffic", "abuse": "traffic", "sweep": "traffic", "long": "traffic", "scan": "traffic", "tls": "sensor", "lateral": "sensor", "signature": "sensor", "reputation": "intel", "decoy": "decoy", "geofence": "policy", "peer": "context", "coordinated": "context", "discovery": "context"}
+FAMILY_OF = {"rate": "dns", "entropy": "dns", "unique": "dns", "dga": "dns", "tunnel": "dns", "evasion": "dns", "exfil": "traffic", "beacon": "traffic", "abuse": "traffic", "sweep": "traffic", "long": "traffic", "scan": "traffic", "tls": "sensor", "lateral": "sensor", "signature": "sensor", "reputation": "intel", "decoy": "decoy", "spoof": "sensor", "geofence": "policy", "peer": "context", "coordinated": "context", "discovery": "context"}
 FAMILY_SQL = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in FAMILY_OF.items()) + " END"
 EVI = f"""evi AS (SELECT user_id, week, top_k, x.kind AS kind, x.confidence AS confidence, {FAMILY_SQL.replace("kind", "x.kind")} AS family FROM (SELECT user_id, week, top_k, unnest([{", ".join(f"{{'kind': '{c[2:]}', 'confidence': {c}}}" for c in CONFIDENCES)}]) AS x FROM de) WHERE x.confidence > 0)"""
 
@@ -185,7 +183,7 @@ def review_validator(s, d):
 
 CANDIDATES = [("current", 1.0), ("tighter", 0.8), ("looser", 1.25)]
 _scaled = {c: f"CASE WHEN {c} * factor >= 1.0 THEN 1.0 ELSE {c} * factor END" for c in ("c_exfil", "c_beacon", "c_scan", "c_dga")}
-REPLAY = f"""cand AS (SELECT de.* EXCLUDE ({", ".join(_scaled)}), p.name AS candidate, {", ".join(f"round({C.doubles(e).replace('factor', 'p.factor')}, 6) AS {c}" for c, e in _scaled.items())} FROM de, (VALUES {", ".join(f"('{a}', {b}e0)" for a, b in CANDIDATES)}) p(name, factor)), """ + ", ".join(_layer(b, a, rules) for a, b, rules in zip(["cand", "r1", "r2", "r3"], ["r1", "r2", "r3", "rp"], C.layers(), strict=True))
+REPLAY = f"""cand AS (SELECT de.* EXCLUDE ({", ".join(_scaled)}), p.name AS candidate, {", ".join(f"round({C.doubles(e).replace('factor', 'p.factor')}, 6) AS {c}" for c, e in _scaled.items())} FROM de, (VALUES {", ".join(f"('{a}', {b}e0)" for a, b in CANDIDATES)}) p(name, factor)), """ + decision_sql("cand", "rp")
 
 
 def replayed(s, d):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .cycle_oracle import decision_sql
+from .cycle_queries import DEC, decisions, evidence
 from .operators import identity
-from .queries import query
-from .sources.tables import epoch, table
+from .plans import retention, tuning
+from .queries import EV, HO, query
+from .sources.tables import epoch, events, table
 
 # --- identities merged and split
 
@@ -64,3 +67,138 @@ def split_profiles(s, d):
     now, log = identity.merge(start, identity.empty_log(start), groups(s, d), 1)
     back = identity.split(now, log, start.where("id % 9 = 0").select("id"), 2)[0]
     return as_text(identity.merge_metadata(back.withColumn("own", F.col("id")), "own"))  # those that stayed alone get their lists cut and put in order too
+
+
+# --- candidates against pinned decisions, proposals
+
+CASES = "(n >= 12 OR decoys > 0 OR tier = 5)"
+CANDIDATE_ROWS = [("current", None, None, None, None), ("keen", 0.8, 0.5, None, None), ("calm", 0.95, None, None, None), ("deaf", None, None, 3.0, None), ("lenient", None, 0.7, None, 3.4)]
+BOUNDS = "CASE WHEN decoys > 0 AND user_id % 10 <> 7 THEN 'CRITICAL' WHEN tier = 5 THEN 'SUSPICIOUS' END"
+MOST = "CASE WHEN tier <= 2 AND attack < 2 AND decoys = 0 AND flips = 0 AND geo < 2 AND alerts < 2 THEN 'SUSPICIOUS' END"
+_deciding = ", ".join(
+    decision_sql("cases", f"c_{name}", **{k: f"{v}e0" for k, v in zip(("strong", "partial", "sources", "risk"), values) if v is not None}) for name, *values in CANDIDATE_ROWS)
+GUARDED = " UNION ALL ".join(f"SELECT '{name}' AS candidate, state, decision_path, at_least, at_most, pinned FROM c_{name}" for name, *_ in CANDIDATE_ROWS)
+RANK = "list_position(['BENIGN', 'ANOMALOUS', 'SUSPICIOUS', 'HIGH', 'CRITICAL'], {})"
+
+
+def golden_cases(s, d):
+    """Evidence of busy, decoyed and listed cycles with the bounds that hold under any parameters, and today's path as the pin of every fourth device."""
+    now = decisions(s, d).where(CASES)
+    pins = now.select("user_id", "week", F.expr(BOUNDS).alias("at_least"), F.expr(MOST).alias("at_most"), F.when(F.col("user_id") % 4 == 0, F.col("decision_path")).alias("pinned"))
+    return evidence(s, d).join(pins, ["user_id", "week"])
+
+
+@query(f"""SELECT candidate, count(*) AS cases, count(*) FILTER ({RANK.format('state')} < {RANK.format('at_least')}) AS missed, count(*) FILTER ({RANK.format('state')} > {RANK.format('at_most')}) AS over,
+ count(*) FILTER (decision_path <> pinned) AS flipped, count(*) FILTER ({RANK.format('state')} < {RANK.format('at_least')} OR {RANK.format('state')} > {RANK.format('at_most')} OR decision_path <> pinned) > 0 AS blocked
+ FROM ({GUARDED}) GROUP BY 1""", EV, HO, DEC, f"pins AS (SELECT user_id, week, {BOUNDS} AS at_least, {MOST} AS at_most, CASE WHEN user_id % 4 = 0 THEN decision_path END AS pinned FROM dc WHERE {CASES})",
+       "cases AS (SELECT * FROM de JOIN pins USING (user_id, week))", _deciding)
+def candidate_guard(s, d):
+    """Candidates of decision parameters against pinned decisions and bounds, all in one pass over the cases."""
+    fields = "candidate string, p_strong double, p_partial double, p_sources double, p_risk double"
+    return tuning.guard(golden_cases(s, d), s.createDataFrame(CANDIDATE_ROWS, fields))
+
+
+LOOSE = "loose AS (SELECT 100 + user_id AS change_id, user_id, 0.7 AS parent, 0.97 AS value FROM (SELECT DISTINCT user_id FROM ev) WHERE user_id % 3 = 0)"
+
+
+@query("""SELECT change_id, count(*) AS misses FROM loose JOIN de USING (user_id) WHERE c_signature >= parent AND c_signature < value
+ AND EXISTS (SELECT 1 FROM dc WHERE dc.user_id = de.user_id AND dc.state = 'CRITICAL' AND abs(dc.week - de.week) * 604800 <= 1209600) GROUP BY 1""", EV, HO, DEC, LOOSE)
+def circuit_breaker(s, d):
+    """Loosened bars of a signature's confidence under which a threat was missed that a decision within two weeks confirmed: they are rolled back at once."""
+    scopes = events(s, d).where("user_id % 3 = 0").select((F.col("user_id") + 100).alias("change_id"), "user_id", F.lit(0.7).alias("parent"), F.lit(0.97).alias("value")).distinct()
+    at = F.col("week").cast("double") * 604_800
+    found = evidence(s, d).select("user_id", at.alias("t"), F.col("c_signature").alias("confidence"))
+    return tuning.confirmed_misses(scopes, found, decisions(s, d).where("state = 'CRITICAL'").select("user_id", at.alias("t")), 1_209_600.0)
+
+
+PROPOSALS = """prop AS (SELECT event_id AS proposal_id, event_type AS parameter, user_id % 5 AS scope, t, round(0.3 + (value - floor(value)) * 0.6, 6) AS wanted, event_id % 7 <> 0 AS backtest, event_id % 3 <> 0 AS night FROM ev),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY parameter, scope ORDER BY t, proposal_id) AS turn FROM prop),
+ fold AS (SELECT parameter, scope, 0::BIGINT AS turn, NULL::BIGINT AS proposal_id, NULL::DOUBLE AS t, 0.5e0 AS active, 0.5e0 AS value, '' AS outcome, NULL::DOUBLE AS waiting, NULL::DOUBLE AS confirm, false AS passes, -1e18 AS last FROM turns WHERE turn = 1
+  UNION ALL SELECT parameter, scope, turn, proposal_id, t, active, value, outcome, if(outcome IN ('promoted', 'rolled_back'), value, held), if(outcome IN ('promoted', 'rolled_back'), ceil((t + 21600) / 86400) * 86400, until),
+    if(outcome IN ('promoted', 'rolled_back'), night, passes), if(outcome IN ('promoted', 'rolled_back'), t, last)
+  FROM (SELECT *, CASE WHEN t - last < 3600 THEN 'cooldown' WHEN held IS NOT NULL THEN 'pending' WHEN NOT backtest THEN 'no_backtest' WHEN value > active AND value - 0.5e0 > 0.1e0 + 1e-9 THEN 'radius' WHEN night THEN 'promoted' ELSE 'rolled_back' END AS outcome
+   FROM (SELECT *, greatest(0.1e0, least(0.9e0, active + greatest(-0.05e0, least(0.05e0, wanted - active)))) AS value
+    FROM (SELECT n.*, if(f.confirm <= n.t AND f.passes, f.waiting, f.active) AS active, if(f.confirm <= n.t, NULL, f.waiting) AS held, if(f.confirm <= n.t, NULL, f.confirm) AS until, f.passes, f.last
+     FROM fold f JOIN turns n ON n.parameter = f.parameter AND n.scope = f.scope AND n.turn = f.turn + 1))))"""
+
+
+@query("SELECT parameter, scope, proposal_id, t, round(active, 6) AS active, round(value, 6) AS value, outcome FROM fold WHERE turn > 0", "RECURSIVE " + EV, PROPOSALS)
+def proposal_states(s, d):
+    """The life of each proposed change: refused, promoted by the first nightly run after its canary, or rolled back by it."""
+    i = F.col("event_id")
+    rows = events(s, d).select(i.alias("proposal_id"), F.col("event_type").alias("parameter"), (F.col("user_id") % 5).alias("scope"), "t", F.round(F.lit(0.3) + (F.col("value") - F.floor("value")) * 0.6, 6).alias("wanted"), (i % 7 != 0).alias("backtest"), (i % 3 != 0).alias("night_passes"))
+    return tuning.proposal_states(rows).withColumn("active", F.round("active", 6)).withColumn("value", F.round("value", 6))
+
+
+# --- retention
+
+#: Orders stand for decisions, their lines for evidence that the decision cites, parts for destinations; alerts, actions and containments hang on decisions.
+STORE = """decisions AS (SELECT o_orderkey AS id, o_custkey AS device, epoch_us(o_orderdate) / 1e6 AS t FROM orders),
+ alerts AS (SELECT o_orderkey AS id, o_orderkey AS decision, o_custkey AS incident FROM orders WHERE o_orderstatus = 'F'), actions AS (SELECT o_orderkey AS id, o_orderkey AS alert FROM orders WHERE o_orderpriority LIKE '1%'),
+ containments AS (SELECT o_orderkey AS id, o_orderkey AS decision FROM orders WHERE o_orderpriority LIKE '2%'), incidents AS (SELECT DISTINCT o_custkey AS id FROM orders),
+ evidence AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS decision, l_partkey AS destination, l_returnflag = 'R' AS weak, epoch_us(l_shipdate) / 1e6 AS t FROM lineitem),
+ destinations AS (SELECT p_partkey AS id, 0e0 AS t FROM part), baselines AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN c_custkey - 1 END AS merged FROM customer),
+ clock AS (SELECT max(epoch_us(o_orderdate) / 1e6) AS now FROM orders)"""
+ALIVE = """d1 AS (SELECT decisions.* FROM decisions, clock WHERE t >= now - 365 * 86400), a1 AS (SELECT * FROM alerts a WHERE EXISTS (SELECT 1 FROM d1 WHERE d1.id = a.decision)),
+ x1 AS (SELECT * FROM actions x WHERE EXISTS (SELECT 1 FROM a1 WHERE a1.id = x.alert)), i1 AS (SELECT * FROM incidents i WHERE EXISTS (SELECT 1 FROM a1 WHERE a1.incident = i.id)),
+ e0 AS (SELECT e.*, EXISTS (SELECT 1 FROM d1, clock WHERE d1.id = e.decision AND d1.t >= now - 90 * 86400) AS cited FROM evidence e),
+ e1 AS (SELECT e0.* FROM e0, clock WHERE cited OR t >= now - if(weak, 0.5, 90) * 86400), p1 AS (SELECT * FROM destinations p WHERE id % 50 = 3 OR EXISTS (SELECT 1 FROM e1 WHERE e1.destination = p.id))"""
+
+
+def stored(s, d):
+    """The store's tables and the time of its newest decision."""
+    o, line = table(s, d, "orders"), table(s, d, "lineitem")
+    key = F.col("o_orderkey")
+    at = epoch("o_orderdate")
+    tables = {
+        "decisions": o.select(key.alias("id"), F.col("o_custkey").alias("device"), at.alias("t")),
+        "alerts": o.where("o_orderstatus = 'F'").select(key.alias("id"), key.alias("decision"), F.col("o_custkey").alias("incident")),
+        "actions": o.where("o_orderpriority LIKE '1%'").select(key.alias("id"), key.alias("alert")),
+        "containments": o.where("o_orderpriority LIKE '2%'").select(key.alias("id"), key.alias("decision")),
+        "incidents": o.select(F.col("o_custkey").alias("id")).distinct(),
+        "evidence": line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("decision"), F.col("l_partkey").alias("destination"), (F.col("l_returnflag") == "R").alias("weak"), epoch("l_shipdate").alias("t")),
+        "destinations": table(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("t")),
+        "baselines": table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 1, F.col("c_custkey") - 1).alias("merged"), F.lit(0.0).alias("t")),
+    }
+    return tables, o.agg(F.max(at)).first()[0]
+
+
+def policies(now):
+    """Decisions live a year with what hangs on them, containments stay without them, evidence 90 days or while a decision of the last 90 cites it (weak notices half a day), destinations while
+    evidence names them or a verdict is cached, baselines until their device is merged away."""
+    return [
+        retention.Policy("decisions", "id", 365), retention.Policy("alerts", "id", parents=[("decision", "decisions")]), retention.Policy("actions", "id", parents=[("alert", "alerts")]),
+        retention.Policy("containments", "id", detached=[("decision", "decisions")]), retention.Policy("incidents", "id", cited_by=[("alerts", "incident")], only_cited=True),
+        retention.Policy("evidence", "id", 90, cited_by=[("citations", "evidence")]), retention.Policy("evidence", "id", 0.5, cited_by=[("citations", "evidence")], where="weak"),
+        retention.Policy("destinations", "id", 90, cited_by=[("evidence", "destination")], where="id % 50 <> 3"), retention.Policy("baselines", "id", 0, where="merged IS NOT NULL"),
+    ]
+
+
+@query("""SELECT 'decisions' AS "table", id, NULL::BIGINT AS ref FROM d1 UNION ALL SELECT 'alerts', id, decision FROM a1 UNION ALL SELECT 'actions', id, alert FROM x1
+ UNION ALL SELECT 'containments', id, (SELECT d1.id FROM d1 WHERE d1.id = containments.decision) FROM containments UNION ALL SELECT 'incidents', id, NULL FROM i1 UNION ALL SELECT 'evidence', id, decision FROM e1
+ UNION ALL SELECT 'destinations', id, NULL FROM p1 UNION ALL SELECT 'baselines', id, NULL FROM baselines WHERE merged IS NULL""", STORE, ALIVE)
+def retention_survivors(s, d):
+    """What stays of every table after one pass of the retention rules."""
+    tables, now = stored(s, d)
+    tables["citations"] = tables["evidence"].join(tables["decisions"].where(F.col("t") >= now - 90 * 86_400).select(F.col("id").alias("decision")), "decision", "left_semi").select(F.col("id").alias("evidence"))
+    kept = retention.survivors(tables, policies(now), now)
+    refs = {"alerts": "decision", "actions": "alert", "containments": "decision", "evidence": "decision"}
+    parts = [kept[k].select(F.lit(k).alias("table"), "id", F.col(refs[k]) if k in refs else F.lit(None).cast("long")).toDF("table", "id", "ref") for k in tables if k != "citations"]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+BYTES = "stored AS (SELECT event_id AS id, floor(t / 86400) * 86400 AS t, 40 + length(props) + (event_id % 97) AS bytes FROM ev JOIN (SELECT event_id, props FROM events) USING (event_id))"
+
+
+@query("SELECT t, id, total, freed FROM (SELECT t, id, sum(bytes) OVER (ORDER BY t, id)::DOUBLE AS freed, sum(bytes) OVER ()::DOUBLE AS total FROM stored) WHERE freed >= total - 0.4 * total ORDER BY t, id LIMIT 1", EV, BYTES)
+def size_governor(s, d):
+    """The newest row that must go for the rest to fit 40 % of the table's bytes, with the bytes in all and those that go."""
+    extra = table(s, d, "events").select("event_id", (F.length("props") + 40 + F.col("event_id") % 97).alias("bytes"))
+    rows = events(s, d).join(extra, "event_id").select(F.col("event_id").alias("id"), (F.floor(F.col("t") / 86_400) * 86_400).cast("double").alias("t"), "bytes")
+    total = rows.agg(F.sum("bytes").cast("double")).first()[0]
+    t, i = retention.size_cut(rows, 0.4 * total)
+    freed = F.sum(F.when((F.col("t") < t) | ((F.col("t") == t) & (F.col("id") <= i)), F.col("bytes"))).cast("double")
+    return rows.agg(freed.alias("freed")).select(F.lit(t).alias("t"), F.lit(i).cast("long").alias("id"), F.lit(total).alias("total"), "freed")

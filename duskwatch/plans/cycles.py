@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: The destination that stands for the network's gateway; several kinds of answer from it within a week mean that its hardware address changed.
+GATEWAY = 57
 #: Confidence of each detector, null-free, 0 where it is silent. Tags of composite detectors come first.
 DETECTORS = {
     "unique_ratio": "targets * 1.0 / n",
@@ -24,7 +26,7 @@ DETECTORS = {
     "c_rate": "CASE WHEN n > 14 THEN least(1.0, n / 30.0) ELSE 0.0 END",
     "c_entropy": "CASE WHEN entropy > 1.6 THEN least(1.0, (entropy - 1.6) / 0.6) ELSE 0.0 END",
     "c_unique": "CASE WHEN n >= 5 AND targets * 1.0 / n > 0.9 THEN targets * 1.0 / n ELSE 0.0 END",
-    "c_dga": "CASE WHEN errors >= 5 THEN least(1.0, 0.6 + errors / 50.0) WHEN errors >= 3 AND entropy > 1.5 THEN 0.6 WHEN errors * 1.0 / n > 0.4 AND kind <> 0 THEN errors * 1.0 / n ELSE 0.0 END",
+    "c_dga": "CASE WHEN errors >= 5 THEN least(1.0, 0.6 + errors / 20.0) WHEN errors >= 3 AND entropy > 1.5 THEN 0.6 WHEN errors * 1.0 / n > 0.4 AND kind <> 0 THEN errors * 1.0 / n ELSE 0.0 END",
     "c_exfil": """CASE WHEN top_k BETWEEN 20 AND 39 THEN 0.0 WHEN z > 2 AND total > 900 THEN CASE WHEN kind = 1 THEN 0.5 ELSE 0.9 END
         WHEN z > 1 AND total > 600 THEN CASE WHEN kind = 1 THEN 0.35 ELSE 0.6 END WHEN z > 0 AND total > 1000 THEN CASE WHEN kind = 1 THEN 0.25 ELSE 0.55 END ELSE 0.0 END""",
     "b_slow": "CASE WHEN n >= 4 AND gap_cv < 0.6 AND gap_mean > 20000 THEN 0.7 ELSE 0.0 END",
@@ -35,6 +37,7 @@ DETECTORS = {
     "c_long": "CASE WHEN top > 300 THEN 0.85 WHEN top > 200 THEN 0.5 ELSE 0.0 END",
     "c_tls": "CASE WHEN tls > 0 THEN 0.95 ELSE 0.0 END",
     "c_decoy": "CASE WHEN decoys > 0 AND user_id % 10 <> 7 THEN 1.0 ELSE 0.0 END",
+    "c_spoof": "CASE WHEN flips > 0 THEN 1.0 ELSE 0.0 END",
     "c_lateral": "CASE WHEN moves >= 2 THEN 0.9 ELSE 0.0 END",
     "c_discovery": "CASE WHEN signups >= 5 THEN 0.7 ELSE 0.0 END",
     "c_geofence": "CASE WHEN geo >= 3 AND user_id % 9 <> 0 THEN 0.95 WHEN geo >= 2 AND user_id % 9 <> 0 THEN 0.7 ELSE 0.0 END",
@@ -53,18 +56,22 @@ COMPOSED = {
     "c_scan": "greatest(c_abuse, c_sweep, c_long)",
     "attack_shaped": "c_dga > 0 OR c_exfil > 0.5 OR c_abuse > 0 OR b_single > 0.6 OR c_lateral > 0",
 }
-#: Scores of the attack hypotheses in order of registration: 0 without the gate, 2 with it, and up to 4 by the ladder.
+#: Parameters of the rules below; a candidate is another row of them.
+PARAMETERS = {"p_hard": 0.9, "p_strong": 0.85, "p_partial": 0.6, "p_family": 0.6, "p_sources": 2.0, "p_risk": 1.5, "p_fresh": 241_920.0}
+#: Candidates that one pass decides under at most.
+MOST_CANDIDATES = 1000
+#: Scores of the attack hypotheses in order of registration: 0 without the gate, 2 with it, and up to 4 by the ladder. A known good destination (tier 0 to 2) keeps a score at 2.
 ATTACKS = {
     "dns_tunnelling": "CASE WHEN c_rate = 0 OR c_entropy = 0 THEN 0 WHEN c_unique > 0 AND tier = 4 THEN 4 WHEN c_unique > 0 AND tier > 2 THEN 3 ELSE 2 END",
     "intrusion": "CASE WHEN c_lateral = 0 AND c_tls = 0 THEN 0 WHEN c_lateral > 0 AND c_discovery = 0 AND tier > 2 THEN 4 WHEN c_tls > 0 AND tier > 2 THEN 3 ELSE 2 END",
-    "dga_botnet": "CASE WHEN c_dga = 0 THEN 0 WHEN tier > 2 AND c_dga >= 0.7 AND c_rate > 0 THEN 4 WHEN tier > 2 AND c_dga >= 0.6 THEN 3 ELSE 2 END",
-    "exfiltration": "CASE WHEN c_exfil = 0 THEN 0 WHEN tier > 2 AND (c_exfil >= 0.85 OR c_exfil >= 0.6 AND (c_beacon > 0 OR c_reputation > 0)) THEN 4 WHEN tier > 2 AND c_exfil >= 0.6 THEN 3 ELSE 2 END",
-    "beaconing": "CASE WHEN c_beacon = 0 THEN 0 WHEN beacon_tag <> 'single_target' OR tier <= 2 THEN 2 WHEN c_beacon >= 0.85 THEN 4 WHEN c_exfil > 0 OR c_reputation > 0 OR c_dga > 0 THEN 3 ELSE 2 END",
-    "covert_tunnelling": "CASE WHEN c_tunnel = 0 THEN 0 WHEN c_tunnel >= 0.85 AND tier IN (3, 4) THEN 4 WHEN tags >= 2 AND tier > 2 THEN 3 ELSE 2 END",
-    "coordinated_targeting": "CASE WHEN c_coordinated = 0 THEN 0 WHEN tier > 2 AND c_coordinated >= 0.85 AND others >= 3 THEN 4 WHEN tier > 2 AND c_coordinated >= 0.6 THEN 3 ELSE 2 END",
-    "connection_abuse": "CASE WHEN c_scan = 0 THEN 0 WHEN tier > 2 AND c_scan >= 0.85 THEN 4 WHEN tier > 2 AND c_scan >= 0.6 THEN 3 ELSE 2 END",
+    "dga_botnet": "CASE WHEN c_dga = 0 THEN 0 WHEN tier <= 2 THEN 2 WHEN c_dga >= p_strong AND n > 18 THEN 4 WHEN c_dga >= p_partial THEN 3 ELSE 2 END",
+    "exfiltration": "CASE WHEN c_exfil = 0 THEN 0 WHEN tier <= 2 THEN 2 WHEN c_exfil >= p_strong THEN 4 WHEN c_exfil >= p_partial OR c_beacon > 0 OR c_reputation > 0 THEN 3 ELSE 2 END",
+    "beaconing": "CASE WHEN c_beacon = 0 THEN 0 WHEN tier <= 2 OR beacon_tag <> 'single_target' OR NOT (c_exfil > 0 OR c_reputation > 0 OR c_tls > 0) THEN 2 WHEN c_beacon >= p_strong THEN 4 ELSE 3 END",
+    "covert_tunnelling": "CASE WHEN c_tunnel = 0 THEN 0 WHEN c_tunnel >= p_strong AND tier IN (3, 4) THEN 4 WHEN tags >= 2 AND tier > 2 THEN 3 ELSE 2 END",
+    "coordinated_targeting": "CASE WHEN c_coordinated = 0 THEN 0 WHEN tier > 2 AND c_coordinated >= p_strong AND others >= 3 THEN 4 WHEN tier > 2 AND c_coordinated >= p_partial THEN 3 ELSE 2 END",
+    "connection_abuse": "CASE WHEN c_scan = 0 THEN 0 WHEN tier > 2 AND c_scan >= p_strong THEN 4 WHEN tier > 2 AND c_scan >= p_partial THEN 3 ELSE 2 END",
     "dns_evasion": "CASE WHEN c_evasion = 0 THEN 0 WHEN unexplained * 2 < n OR tier <= 2 THEN 2 WHEN c_evasion >= 0.5 AND (c_beacon > 0 OR c_exfil > 0 OR c_reputation > 0) THEN 4 WHEN c_evasion >= 0.5 THEN 3 ELSE 2 END",
-    "signature_match": "CASE WHEN c_signature = 0 THEN 0 WHEN tier > 2 AND c_signature >= 0.85 THEN 4 WHEN tier > 2 THEN 3 ELSE 2 END",
+    "signature_match": "CASE WHEN c_signature = 0 THEN 0 WHEN tier > 2 AND c_signature >= p_strong THEN 4 WHEN tier > 2 THEN 3 ELSE 2 END",
     "peer_deviation": "CASE WHEN c_peer = 0 OR NOT attack_shaped THEN 0 WHEN tier > 2 AND c_peer >= 0.5 THEN 3 ELSE 2 END",
 }
 #: Scores of the benign hypotheses.
@@ -73,22 +80,27 @@ BENIGN = {
     "local_discovery": "CASE WHEN c_discovery > 0 THEN 2.5 ELSE 0 END",
     "device_profile": "CASE WHEN kind IN (2, 3) AND (tier <= 2 OR familiarity >= 0.6) AND n > 8 AND NOT (attack_shaped) THEN CASE WHEN familiarity >= 0.6 THEN 3 ELSE 2.5 END ELSE 0 END",
 }
-#: Evidence families with the confidence that counts for each; context (peers, coordination, discovery) is no source of its own, and what one sensor sees is one family.
-FAMILIES = {"dns": "greatest(c_rate, c_entropy, c_dga, c_tunnel, c_evasion)", "traffic": "greatest(c_exfil, c_beacon, c_scan)", "sensor": "greatest(c_lateral, c_tls, c_signature)", "intel": "c_reputation", "decoy": "c_decoy", "policy": "c_geofence"}
-SOURCES = " + ".join(f"CASE WHEN {v} >= 0.6 THEN 1 ELSE 0 END" for v in FAMILIES.values())
-#: The decision's rules in order: path, condition, state, confidence.
+#: Evidence families with the confidence that counts for each; context (peers, coordination, discovery) and policy are no source of their own, and what one sensor sees is one family.
+FAMILIES = {"dns": "greatest(c_rate, c_entropy, c_dga, c_tunnel, c_evasion)", "traffic": "greatest(c_exfil, c_beacon, c_scan)", "sensor": "greatest(c_lateral, c_tls, c_signature)", "intel": "c_reputation", "decoy": "c_decoy"}
+SOURCES = " + ".join(f"CASE WHEN {v} >= p_family THEN 1 ELSE 0 END" for v in FAMILIES.values())
+#: What else than a signature speaks for an attack: the sources, less the sensor where it saw nothing but the signature.
+BESIDE_SIGNATURE = "sources - CASE WHEN c_signature >= p_family AND greatest(c_lateral, c_tls) < p_family THEN 1 ELSE 0 END"
+#: Added to the attack score where the main destination is new to the whole network and several sources agree already.
+YOUNG_LIFT = 1.0
+#: The decision's rules in order: path, condition, state, confidence. Hard stops other than the decoy's ask for evidence that is still fresh at the cycle's end.
 PATHS = [
-    ("hard_decoy", "c_decoy >= 1.0 AND sources >= 2 AND attack > benign", "CRITICAL", "1.0"),
-    ("hard_geofence", "c_geofence >= 0.95 AND sources >= 2 AND attack > benign", "CRITICAL", "0.95"),
-    ("geofence_alone", "c_geofence > 0", "HIGH", "0.7"),
-    ("hard_signature", "c_signature >= 0.98 AND sources >= 2 AND attack > benign", "CRITICAL", "0.98"),
-    ("signature_alone", "c_signature >= 0.98", "HIGH", "0.75"),
+    ("hard_decoy", "c_decoy >= 1.0", "CRITICAL", "1.0"),
+    ("hard_spoof", "c_spoof >= 1.0 AND spoof_age <= p_fresh", "CRITICAL", "1.0"),
+    ("hard_geofence", "c_geofence > 0 AND geo_age <= p_fresh AND sources >= 1 AND attack > benign", "CRITICAL", "0.95"),
+    ("geofence_alone", "c_geofence > 0 AND geo_age <= p_fresh", "HIGH", "0.7"),
+    ("hard_signature", f"c_signature >= p_hard AND alert_age <= p_fresh AND {BESIDE_SIGNATURE} >= 1 AND attack > benign", "CRITICAL", "0.98"),
+    ("signature_alone", "c_signature >= p_hard AND alert_age <= p_fresh", "HIGH", "0.75"),
     ("listed_verified", "tier = 5 AND verified", "CRITICAL", "0.99"),
-    ("listed_two_sources", "tier = 5 AND sources >= 2", "HIGH", "0.85"),
+    ("listed_two_sources", "tier = 5 AND sources >= p_sources AND attack > benign", "CRITICAL", "0.85"),
     ("listed", "tier = 5", "SUSPICIOUS", "0.45"),
-    ("independent_sources", "attack > benign AND attack >= 3 AND sources >= 3", "HIGH", "0.85"),
-    ("two_sources", "attack > benign AND sources >= 2", "SUSPICIOUS", "0.4"),
-    ("suspect_destination", "tier = 4 AND risk >= 1.5", "SUSPICIOUS", "0.45"),
+    ("independent_sources", "attack > benign AND attack >= 3 AND sources >= p_sources", "HIGH", "0.85"),
+    ("one_source", "attack > benign AND attack >= 2", "SUSPICIOUS", "0.4"),
+    ("suspect_destination", "tier = 4 AND risk >= p_risk", "SUSPICIOUS", "0.45"),
     ("anomaly_only", "c_peer > 0.45", "ANOMALOUS", "0.1"),
 ]
 
@@ -127,27 +139,33 @@ def features(events: DataFrame, hosts: DataFrame) -> DataFrame:
     names = hosts.select(F.col("page_id").alias("k"), F.substring_index("host", ".", 1).alias("label")).select("k", S.entropy(F.col("label")).alias("h"), F.length("label").alias("len"))
     dest = e.groupBy("user_id", "week", "k").agg(
         F.count("*").alias("nk"), count(kind == "error").alias("ek"), count(kind == "view").alias("vk"), count(kind == "click").alias("ck"), count(kind == "purchase").alias("pk"),
-        count(kind == "signup").alias("sk"), F.sum("value").alias("bytes"), F.max("value").alias("most"))
+        count(kind == "signup").alias("sk"), F.sum("value").alias("bytes"), F.max("value").alias("most"), F.max("t").alias("tk"), F.max(F.when(kind == "error", F.col("t"))).alias("te"))
     dest = dest.join(names, "k", "left")
     k = F.col("k")
+    gateway = F.when(k == GATEWAY, sum(F.when(F.col(c) > 0, 1).otherwise(0) for c in ("ek", "vk", "ck", "pk", "sk")))
     week = dest.groupBy("user_id", "week").agg(
         F.sum("nk").alias("n"), F.sum("ek").alias("errors"), F.sum("vk").alias("views"), F.sum("ck").alias("clicks"), F.sum("pk").alias("buys"), F.sum("sk").alias("signups"),
         F.count("k").alias("targets"), count(F.col("ek") > 0).alias("rejected"), F.round(F.sum("bytes"), 4).alias("total"), F.max("most").alias("top"),
         F.coalesce(F.round(F.avg("h"), 6), F.lit(0.0)).alias("entropy"), F.coalesce(F.max("len"), F.lit(0)).alias("longest"),
         F.max("nk").alias("most_n"), F.max_by("k", F.struct("nk", -k)).alias("top_k"), count(k.between(20, 39) & (F.col("pk") > 0)).alias("moves"),
         F.sum(F.when(k == 13, F.col("nk")).otherwise(0)).alias("decoys"), F.sum(F.when(k % 25 == 3, F.col("nk")).otherwise(0)).alias("geo"), F.sum(F.when((k % 17 == 0) & (k > 0), F.col("nk")).otherwise(0)).alias("tls"),
-        F.sum(F.when(k % 11 == 4, F.col("ek")).otherwise(0)).alias("alerts"), F.sum(F.when(k >= 70, F.col("nk")).otherwise(0)).alias("unexplained"))
+        F.sum(F.when(k % 11 == 4, F.col("ek")).otherwise(0)).alias("alerts"), F.sum(F.when(k >= 70, F.col("nk")).otherwise(0)).alias("unexplained"),
+        F.coalesce(F.max(gateway) - 1, F.lit(0)).alias("flips"), F.max("tk").alias("end"), F.max(F.when(k % 25 == 3, F.col("tk"))).alias("geo_at"), F.max(F.when(k % 11 == 4, F.col("te"))).alias("alert_at"),
+        F.max(F.when(k == GATEWAY, F.col("tk"))).alias("spoof_at"))
+    week = week.select("*", *[(F.col("end") - F.col(f"{c}_at")).alias(f"{c}_age") for c in ("geo", "alert", "spoof")]).drop("end", "geo_at", "alert_at", "spoof_at")
     series = W.partitionBy("user_id", "week").orderBy("t", "event_id")
     gaps = e.withColumn("gap", F.col("t") - F.lag("t").over(series)).groupBy("user_id", "week").agg(
         F.coalesce(F.round(F.avg("gap"), 3), F.lit(0.0)).alias("gap_mean"), F.coalesce(F.round(F.stddev_pop("gap") / F.avg("gap"), 6), F.lit(9.0)).alias("gap_cv"))
     shared = dest.groupBy("k", "week").agg((F.count("*") - 1).alias("others")).withColumnRenamed("k", "top_k")
+    known = dest.groupBy(F.col("k").alias("top_k")).agg(F.min("week").alias("known_from"))
     before = W.partitionBy("user_id").orderBy("week").rowsBetween(W.unboundedPreceding, -1)
-    cohort = W.partitionBy("kind", "week")
-    rows = week.join(gaps, ["user_id", "week"]).join(shared, ["top_k", "week"], "left")
+    rows = week.join(gaps, ["user_id", "week"]).join(shared, ["top_k", "week"], "left").join(known, "top_k", "left")
+    rows = rows.withColumn("young", F.coalesce(F.col("known_from") == F.col("week"), F.lit(False))).drop("known_from")
     z = F.when(F.count("total").over(before) >= 2, F.greatest(F.lit(0.0), (F.col("total") - F.avg("total").over(before)) / F.greatest(F.stddev_pop("total").over(before), F.lit(1.0)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("kind", (F.col("user_id") % 5).cast("int")).withColumn("z", F.round(z, 6)).withColumn("share", F.round(F.col("most_n") / F.col("n"), 6))
-    rows = rows.withColumn("peers", F.count("*").over(cohort) - 1)
-    rows = rows.withColumn("peer_mean", F.round(F.when(F.col("peers") > 0, (F.sum("n").over(cohort) - F.col("n")) / F.col("peers")), 6))
+    cohort = rows.groupBy("kind", "week").agg(F.count("*").alias("cohort"), F.sum("n").alias("cohort_n"))  # sums joined back: a kind's devices never meet in one task
+    rows = rows.join(cohort, ["kind", "week"]).withColumn("peers", F.col("cohort") - 1)
+    rows = rows.withColumn("peer_mean", F.round(F.when(F.col("peers") > 0, (F.col("cohort_n") - F.col("n")) / F.col("peers")), 6)).drop("cohort", "cohort_n")
     rows = rows.withColumn("familiarity", F.round(F.least(F.lit(1.0), F.count("*").over(before) / 4), 6))
     rows = rows.withColumn("others", F.coalesce("others", F.lit(0))).withColumn("tier", F.coalesce(F.col("top_k") % 6, F.lit(3))).withColumn("verified", F.coalesce(F.col("top_k") % 12 == 5, F.lit(False)))
     return rows.withColumn("risk", F.round(F.coalesce(F.col("top_k") % 7, F.lit(0)) / 7.0 * 4, 6))
@@ -177,15 +195,26 @@ def layers() -> list[dict[str, str]]:
     path = " ".join(f"WHEN {c} THEN '{p}'" for p, c, _, _ in PATHS)
     return [
         {f"h_{k}": e for k, e in (ATTACKS | BENIGN).items()},
-        {"attack": attack, "attack_name": attack_name, "benign": benign, "benign_name": benign_name, "sources": SOURCES},
+        {"score": attack, "attack_name": attack_name, "benign": benign, "benign_name": benign_name, "sources": SOURCES},
+        {"attack": f"CAST(score + CASE WHEN young AND sources >= 2 AND score >= 2 AND score > benign THEN {YOUNG_LIFT} ELSE 0.0 END AS DOUBLE)"},
         {"decision_path": f"CASE {path} ELSE 'quiet' END"},
         {"state": "CASE " + " ".join(f"WHEN decision_path = '{p}' THEN '{s}'" for p, _, s, _ in PATHS) + " ELSE 'BENIGN' END",
          "confidence": "CASE " + " ".join(f"WHEN decision_path = '{p}' THEN {c}" for p, _, _, c in PATHS) + " ELSE 0.0 END"},
     ]
 
 
-def decided(evidence: DataFrame) -> DataFrame:
-    """Hypotheses, winners, path, state and confidence beside the evidence. A pure function of the row: replay and shadow runs apply it again."""
+def decided(evidence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Hypotheses, winners, path, state and confidence beside the evidence. A pure function of the row and the parameters: replay and shadow runs apply it again.
+
+    ``candidates`` (candidate, and any of PARAMETERS as doubles; null or absent ones stand at their default) are at most MOST_CANDIDATES rows: each row of evidence is decided under every one of
+    them in the same pass, and the result has the column ``candidate``."""
+    if candidates is None:
+        evidence = evidence.select("*", *[F.lit(v).alias(p) for p, v in PARAMETERS.items()])
+    else:
+        if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+            raise ValueError(f"at most {MOST_CANDIDATES} candidates are decided at once")
+        given = [F.coalesce(p, F.lit(v)).alias(p) if p in candidates.columns else F.lit(v).alias(p) for p, v in PARAMETERS.items()]
+        evidence = evidence.crossJoin(F.broadcast(candidates.select("candidate", *given)))  # a stated set of parameters, counted above
     for layer in layers():
         evidence = settled(with_columns(evidence, layer))
-    return evidence.withColumn("confidence", F.col("confidence").cast("double"))
+    return evidence.drop("score", *PARAMETERS).withColumn("confidence", F.col("confidence").cast("double"))

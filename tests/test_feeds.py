@@ -67,13 +67,38 @@ def test_change_points_and_forest(spark):
 
 
 def test_decision_paths_by_hand(spark):
-    """Worked cases of the rule tables: a decoy with other evidence, a verified listing, two sources, and silence."""
+    """Worked cases of every path of the decision, each a quiet cycle with what the case names."""
     base = dict(user_id=1, week=0, n=10, errors=0, views=1, clicks=1, buys=0, signups=0, targets=5, rejected=0, total=100.0, top=50.0, entropy=1.0, longest=5, top_k=45, most_n=2, moves=0, decoys=0, geo=0, tls=0, alerts=0,
-                unexplained=0, gap_mean=100.0, gap_cv=2.0, others=1, kind=2, z=0.0, share=0.2, peers=5, peer_mean=10.0, familiarity=0.0, tier=3, verified=False, risk=0.0)
-    cases = {
-        "hard_decoy": dict(decoys=1, moves=3), "listed_verified": dict(tier=5, verified=True), "two_sources": dict(moves=3, total=700.0, z=1.5, kind=3), "quiet": {}, "suspect_destination": dict(tier=4, risk=2.0),
-        "geofence_alone": dict(geo=2), "listed": dict(tier=5), "signature_alone": dict(alerts=2),
-    }
-    rows = [{**base, **case, "week": k} for k, case in enumerate(cases.values())]
-    got = {r["week"]: r["decision_path"] for r in cycles.decided(cycles.detected(spark.createDataFrame(rows))).collect()}
-    assert got == dict(enumerate(cases))
+                unexplained=0, gap_mean=100.0, gap_cv=2.0, others=1, kind=2, z=0.0, share=0.2, peers=5, peer_mean=10.0, familiarity=0.0, tier=3, verified=False, risk=0.0, flips=0, geo_age=None, alert_age=None, spoof_age=None, young=False)
+    cases = [
+        ("hard_decoy", dict(decoys=1)), ("hard_decoy", dict(decoys=1, tier=5, verified=True)), ("quiet", dict(decoys=1, user_id=7)), ("hard_spoof", dict(flips=1, spoof_age=0.0)), ("quiet", dict(flips=1, spoof_age=250_000.0)),
+        ("hard_geofence", dict(geo=2, geo_age=0.0, moves=3)), ("geofence_alone", dict(geo=2, geo_age=10.0)), ("quiet", dict(geo=2, geo_age=300_000.0)),
+        ("hard_signature", dict(alerts=2, alert_age=0.0, total=700.0, z=1.5)), ("hard_signature", dict(alerts=2, alert_age=0.0, moves=3)), ("signature_alone", dict(alerts=2, alert_age=0.0)),
+        ("listed_verified", dict(tier=5, verified=True)), ("listed_two_sources", dict(tier=5, moves=3, total=700.0, z=1.5)), ("listed", dict(tier=5, moves=3)), ("listed", dict(tier=5)),
+        ("independent_sources", dict(moves=3, total=700.0, z=1.5)), ("one_source", dict(moves=3)), ("one_source", dict(tier=1, moves=3)), ("suspect_destination", dict(tier=4, risk=2.0)), ("quiet", dict(tier=4, risk=1.0)),
+        ("anomaly_only", dict(n=20, peer_mean=12.0, views=0, clicks=0, c="peer")), ("quiet", {}),
+    ]
+    rows = [{**base, **{k: v for k, v in case.items() if k != "c"}, "week": k} for k, (_, case) in enumerate(cases)]
+    kinds = {int: "long", float: "double", bool: "boolean"}
+    schema = ", ".join(f"{k} {'double' if v is None else kinds[type(v)]}" for k, v in base.items())
+    frame = spark.createDataFrame([tuple(r[k] for k in base) for r in rows], schema)
+    got = {r["week"]: r["decision_path"] for r in cycles.decided(cycles.detected(frame)).collect()}
+    assert [(k, got[k]) for k in got if got[k] != cases[k][0]] == []
+
+
+def test_scores_follow_the_ladders(spark):
+    """Hand-worked scores: what lifts a hypothesis from 2 to 3 and to 4, and what keeps it down."""
+    zero = {c: 0.0 for c in [*cycles.DETECTORS, *cycles.COMPOSED] if c[:2] in ("c_", "b_")}
+    base = {**zero, "user_id": 1, "n": 10, "tier": 3, "tags": 0, "beacon_tag": "none", "others": 1, "unexplained": 0, "entropy": 1.0, "kind": 1, "familiarity": 0.0, "risk": 0.0, "verified": False, "young": False,
+            "attack_shaped": False, "geo_age": 0.0, "alert_age": 0.0, "spoof_age": 0.0}
+    single = dict(beacon_tag="single_target")
+    cases = [
+        ("beaconing", dict(c_beacon=0.9, **single), 2), ("beaconing", dict(c_beacon=0.9, c_dga=0.9, **single), 2), ("beaconing", dict(c_beacon=0.7, c_tls=0.95, **single), 3), ("beaconing", dict(c_beacon=0.9, c_exfil=0.5, **single), 4),
+        ("beaconing", dict(c_beacon=0.9, c_exfil=0.5, beacon_tag="slow"), 2), ("beaconing", dict(c_beacon=0.9, c_exfil=0.5, tier=2, **single), 2),
+        ("dga_botnet", dict(c_dga=0.5), 2), ("dga_botnet", dict(c_dga=0.7, n=30), 3), ("dga_botnet", dict(c_dga=0.9, n=18), 3), ("dga_botnet", dict(c_dga=0.85, n=19), 4), ("dga_botnet", dict(c_dga=0.9, n=30, tier=0), 2),
+        ("exfiltration", dict(c_exfil=0.5), 2), ("exfiltration", dict(c_exfil=0.3, c_beacon=0.3), 3), ("exfiltration", dict(c_exfil=0.6, c_reputation=0.8), 3), ("exfiltration", dict(c_exfil=0.85), 4), ("exfiltration", dict(c_exfil=0.9, tier=1), 2),
+    ]
+    kinds = {int: "int", float: "double", bool: "boolean", str: "string"}
+    frame = spark.createDataFrame([tuple({**base, **case}[k] for k in base) + (k,) for k, (_, case, _) in enumerate(cases)], ", ".join(f"{k} {kinds[type(v)]}" for k, v in base.items()) + ", week int")
+    got = {r["week"]: r.asDict() for r in cycles.decided(frame).collect()}
+    assert [(cases[k], r[f"h_{cases[k][0]}"]) for k, r in got.items() if r[f"h_{cases[k][0]}"] != cases[k][2]] == []

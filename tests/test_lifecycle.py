@@ -1,8 +1,16 @@
 """Merges that are undone, retention, parameters over time: worked cases and round trips."""
 
+import random
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from duskwatch import lifecycle_queries as Q
 from duskwatch.operators import identity
+from duskwatch.plans import cycles, retention, tuning
+
+SF = "/root/testdata/sf0.001"
 
 
 def profile(i, first, last, mac="", host=None, kind=None, counters=None, addresses=None):
@@ -51,3 +59,72 @@ def test_merges_and_splits_give_back_the_tables(spark):
     three, log4 = identity.merge(changed, log3, named(spark, (2, 2), (6, 2)), 4)
     back, _ = identity.split(three, log4, spark.createDataFrame([(6,)], "id long"), 5)
     assert rows(back) == rows(changed)
+
+
+def test_a_flipped_pin_or_a_broken_bound_blocks_a_candidate(spark):
+    cases = Q.golden_cases(spark, SF)
+    fields = "candidate string, p_sources double"
+    got = {r["candidate"]: r for r in tuning.guard(cases, spark.createDataFrame([("same", None), ("deaf", 99.0)], fields)).collect()}
+    assert not got["same"]["blocked"] and got["same"]["cases"] == cases.count() > 0
+    listed = cases.limit(1).drop("at_least", "at_most", "pinned").select("*", F.lit("CRITICAL").alias("at_least"), F.lit(None).cast("string").alias("at_most"), F.lit("nowhere").alias("pinned"))
+    one = tuning.guard(listed.withColumn("c_decoy", F.lit(0.0)).withColumn("tier", F.lit(3)), spark.createDataFrame([("same", None)], fields)).first()
+    assert (one["missed"], one["flipped"], one["blocked"]) == (1, 1, True)
+    with pytest.raises(ValueError):
+        cycles.decided(cases, spark.range(2000).select(F.col("id").cast("string").alias("candidate")))
+
+
+def test_confirmed_misses_within_the_window(spark):
+    scopes = spark.createDataFrame([(1, 7, 0.7, 0.9), (2, 8, 0.9, 0.7), (3, 9, 0.7, 0.9)], "change_id long, user_id long, parent double, value double")
+    seen = spark.createDataFrame([(7, 100.0, 0.7), (7, 100.0, 0.7), (7, 205.0, 0.89), (7, 206.0, 0.9), (7, 900.0, 0.8), (8, 100.0, 0.8), (9, 100.0, 0.8)], "user_id long, t double, confidence double")
+    threats = spark.createDataFrame([(7, 200.0), (7, 201.0), (8, 100.0), (9, 500.0)], "user_id long, t double")
+    assert [tuple(r) for r in tuning.confirmed_misses(scopes, seen, threats, 100.0).collect()] == [(1, 2)]
+
+
+def test_proposals_by_hand():
+    h = 3600.0
+    rows = [(1, 0.0, 0.9, True, True), (2, h / 2, 0.9, True, True), (3, 5 * h, 0.9, True, True), (4, 24 * h, 0.9, False, True), (5, 25 * h, 0.9, True, False), (6, 49 * h, 0.2, True, True), (7, 80 * h, 0.9, True, True), (8, 110 * h, 0.9, True, True), (9, 140 * h, 0.9, True, True)]
+    frame = pd.DataFrame([("p", 1, *r) for r in reversed(rows)], columns=["parameter", "scope", "proposal_id", "t", "wanted", "backtest", "night_passes"])
+    got = [(r.proposal_id, round(r.active, 6), round(r.value, 6), r.outcome) for r in tuning.fold_proposals(frame).itertuples()]
+    assert got == [(1, 0.5, 0.55, "promoted"), (2, 0.5, 0.55, "cooldown"), (3, 0.5, 0.55, "pending"), (4, 0.55, 0.6, "no_backtest"), (5, 0.55, 0.6, "rolled_back"), (6, 0.55, 0.5, "promoted"), (7, 0.5, 0.55, "promoted"), (8, 0.55, 0.6, "promoted"), (9, 0.6, 0.65, "radius")]
+
+
+def test_retention_leaves_no_orphan(spark):
+    tables, now = Q.stored(spark, SF)
+    tables["citations"] = tables["evidence"].limit(0).select(F.col("id").alias("evidence"))
+    kept = retention.survivors(tables, Q.policies(now), now)
+    assert 0 < kept["decisions"].count() < tables["decisions"].count() and kept["containments"].count() == tables["containments"].count()
+    for child, column, parent in (("alerts", "decision", "decisions"), ("actions", "alert", "alerts"), ("containments", "decision", "decisions"), ("incidents", "id", None)):
+        if parent:
+            assert kept[child].where(f"{column} IS NOT NULL").join(kept[parent].select(F.col("id").alias(column)), column, "left_anti").count() == 0
+    assert kept["incidents"].join(kept["alerts"].select(F.col("incident").alias("id")), "id", "left_anti").count() == 0
+
+
+def test_retention_of_nulls_and_citations(spark):
+    parents = spark.createDataFrame([(1, 0.0), (2, 9e5), (3, None)], "id long, t double")
+    rows = spark.createDataFrame([(1, 1, 0.0), (2, 2, 0.0), (3, None, 0.0), (4, 2, 9e5), (5, 9, 9e5), (6, 3, None)], "id long, parent long, t double")
+    cites = spark.createDataFrame([(2,), (None,)], "row long")
+    policies = [retention.Policy("p", "id", 5), retention.Policy("r", "id", 5, parents=[("parent", "p")], cited_by=[("c", "row")])]
+    kept = retention.survivors({"p": parents, "r": rows, "c": cites}, policies, 1e6)
+    assert sorted(r["id"] for r in kept["p"].collect()) == [2, 3] and sorted(r["id"] for r in kept["r"].collect()) == [2, 4, 6]
+
+
+@pytest.mark.parametrize("budget", [0.0, 1.0, 5_000.0, 40_000.0, 59_000.0])
+def test_size_cut_equals_a_running_sum(spark, monkeypatch, budget):
+    monkeypatch.setattr(retention, "LEAST_ROWS", 20)
+    monkeypatch.setattr(retention, "PARTS", 8)
+    rng = random.Random(6)
+    rows = [(k, 5.0 if k % 3 == 0 else float(rng.randrange(40)), rng.randrange(100)) for k in range(1200)] + [(5000, None, 10_000), (5001, 3.0, None)]
+    df = spark.createDataFrame(rows, "id long, t double, bytes long").repartition(4)
+    usable = sorted((t, i, b or 0) for i, t, b in rows if t is not None)
+    excess, held, want = sum(b for *_, b in usable) - budget, 0, None
+    for t, i, b in usable:
+        held += b
+        want = (t, i)
+        if held >= excess:
+            break
+    assert retention.size_cut(df, budget) == (want if excess > 0 else None)
+
+
+def test_size_cut_where_all_fits_or_nothing_is_there(spark):
+    df = spark.createDataFrame([(1, 1.0, 5)], "id long, t double, bytes long")
+    assert retention.size_cut(df, 5) is None and retention.size_cut(df.limit(0), 0) is None and retention.size_cut(df, 4) == (1.0, 1)
