@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .cycle_oracle import decision_sql
 from .cycle_queries import DEC, decisions, evidence
 from .operators import identity
-from .plans import retention, tuning
+from .plans import cycles, explain, retention, synthetic, tuning
 from .queries import EV, HO, query
-from .sources.tables import epoch, events, table
+from .sources.tables import epoch, events, hosts, table
 
 # --- identities merged and split
 
@@ -202,3 +204,54 @@ def size_governor(s, d):
     t, i = retention.size_cut(rows, 0.4 * total)
     freed = F.sum(F.when((F.col("t") < t) | ((F.col("t") == t) & (F.col("id") <= i)), F.col("bytes"))).cast("double")
     return rows.agg(freed.alias("freed")).select(F.lit(t).alias("t"), F.lit(i).cast("long").alias("id"), F.lit(total).alias("total"), "freed")
+
+
+# --- synthetic episodes, explanations
+
+_S = synthetic
+_lehmer = "({}) % 2147483647 * 48271 % 2147483647 * 48271 % 2147483647"
+_of = lambda at, kind: "CASE c " + " ".join(f"WHEN {n} THEN CAST({x[at]} AS {kind})" for n, x in enumerate(_S.CLASSES)) + " END"
+EPISODES = f"""lastw AS (SELECT user_id AS device, max(CAST(floor(day / 7.0) AS BIGINT)) AS week FROM ev0 GROUP BY 1),
+ epi AS (SELECT device, week, c, attack, m, 1000000000 + (device * {len(_S.CLASSES)} + c) * 90 + device % 5 AS user_id FROM lastw, (VALUES {", ".join(f"({n}, '{x[0]}', {x[1]})" for n, x in enumerate(_S.CLASSES))}) v(c, attack, m)),
+ shots AS (SELECT *, {_lehmer.format("15485863 + device * 7919 + c * 104729")} AS q, {_lehmer.format("2 * 15485863 + device * 7919 + c * 104729 + i * 1299709")} AS r FROM (SELECT *, unnest(range(0, m)) AS i FROM epi)),
+ shot AS (SELECT -1 - i AS event_id, user_id, {_of(2, "VARCHAR")} AS event_type, {_of(4, "DOUBLE")} AS value, week * 604800 + ({_of(5, "DOUBLE")}) % 604800 AS t, {_of(3, "INTEGER")} AS k FROM shots),
+ ev AS (SELECT event_id, epi.user_id, event_type, value, t, k, day, hour FROM ev0 JOIN epi ON epi.device = ev0.user_id
+  UNION ALL SELECT event_id, user_id, event_type, value, t, k, day, hour FROM ev0
+  UNION ALL SELECT event_id, user_id, event_type, value, t, k, CAST(floor(t / 86400) AS BIGINT), CAST(floor(t / 3600) AS BIGINT) % 24 FROM shot)"""
+
+
+@query("""SELECT epi.attack, count(*) AS episodes, count(*) FILTER (state IN ('SUSPICIOUS', 'HIGH', 'CRITICAL')) AS noticed, count(*) FILTER (state IN ('HIGH', 'CRITICAL')) AS alarmed, count(*) FILTER (list_position(['BENIGN', 'ANOMALOUS', 'SUSPICIOUS', 'HIGH', 'CRITICAL'], state) > list_position(['BENIGN', 'ANOMALOUS', 'SUSPICIOUS', 'HIGH', 'CRITICAL'], own)) AS raised
+ FROM epi JOIN dc USING (user_id, week) JOIN (SELECT user_id AS device, week, state AS own FROM dc) o ON o.device = epi.device AND o.week = epi.week GROUP BY 1""", EV.replace("ev AS", "ev0 AS", 1), EPISODES, HO, DEC)
+def episode_recall(s, d):
+    """Seven classes of synthetic attacks and benign drift through the whole plan, by class: clones that are noticed, that raise an alarm, and whose state outranks their device's own that week."""
+    real = events(s, d)
+    stream, cases = synthetic.episodes(real)
+    done = cycles.decided(cycles.detected(cycles.features(stream.unionByName(real.select(*stream.columns)), hosts(s, d)))).select("user_id", "week", "state")
+    own = done.select(F.col("user_id").alias("device"), "week", F.col("state").alias("own"))
+    rows = done.join(cases, ["user_id", "week"]).join(own, ["device", "week"])
+    found = {"noticed": F.col("state").isin("SUSPICIOUS", "HIGH", "CRITICAL"), "alarmed": F.col("state").isin("HIGH", "CRITICAL"), "raised": tuning.rank("state") > tuning.rank("own")}
+    return rows.groupBy("attack").agg(F.count("*").alias("episodes"), *[F.sum(c.cast("long")).alias(k) for k, c in found.items()])
+
+
+def _filled_sql(template: str) -> str:
+    text = template.replace("'", "''")
+    for c in re.findall(r"\{(\w+)\}", template):
+        text = text.replace("{" + c + "}", f"' || coalesce({c}::VARCHAR, '?') || '")
+    return f"'{text}'"
+
+
+_evidence = ", ".join(f"{{'low': -c_{k}, 'kind': '{k}', 'text': {_filled_sql(t)}}}" for k, t in explain.EVIDENCE_TEXTS.items())
+_texts = lambda rules: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {_filled_sql(t)} END" for c, t in rules) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""SELECT user_id, week, state || ': device ' || user_id || ', ' || CASE decision_path {" ".join(f"WHEN '{p}' THEN {_filled_sql(t)}" for p, t in explain.PATH_TEXTS.items())} END AS headline,
+ array_to_string(list_transform(list_sort(list_filter([{_evidence}], lambda e: e.low < 0))[:3], lambda e: e.text || ' (' || round(-e.low * 100)::INTEGER || ' %)'), '; ') AS reasons, array_to_string({_texts(explain.BENIGN_TEXTS)}, '; ') AS harmless
+ FROM dc WHERE state <> 'BENIGN'""", EV, HO, DEC)
+def explanations(s, d):
+    """Every decision other than a benign one in plain words: headline, the strongest evidence, and harmless explanations."""
+    return explain.explained(decisions(s, d)).select("user_id", "week", "headline", "reasons", "harmless")
+
+
+@query(f"SELECT user_id, week, state, array_to_string(({_texts(explain.ACTIONS)})[:3], '; ') AS actions FROM dc WHERE state <> 'BENIGN'", EV, HO, DEC)
+def next_actions(s, d):
+    return explain.explained(decisions(s, d)).select("user_id", "week", "state", "actions")

@@ -128,3 +128,28 @@ def test_size_cut_equals_a_running_sum(spark, monkeypatch, budget):
 def test_size_cut_where_all_fits_or_nothing_is_there(spark):
     df = spark.createDataFrame([(1, 1.0, 5)], "id long, t double, bytes long")
     assert retention.size_cut(df, 5) is None and retention.size_cut(df.limit(0), 0) is None and retention.size_cut(df, 4) == (1.0, 1)
+
+
+def test_episodes_are_seed_stable_and_found(spark):
+    from duskwatch.plans import synthetic
+    from duskwatch.sources.tables import events
+
+    e = events(spark, SF)
+    one, cases = synthetic.episodes(e)
+    again, _ = synthetic.episodes(e.repartition(7))
+    key = lambda df: sorted(tuple(r) for r in df.where("event_id < 0").collect())
+    assert key(one) == key(again) != key(synthetic.episodes(e, seed=9)[0])
+    kinds = cases.groupBy("attack").count().collect()
+    assert len(kinds) == 8 and len({r["count"] for r in kinds}) == 1
+    odd = cases.where("user_id % 10 = 7 OR user_id % 9 = 0 OR user_id % 5 <> device % 5").count()
+    assert odd == 0 and cases.select("user_id").distinct().count() == cases.count()
+    found = {r["attack"]: r for r in Q.episode_recall(spark, SF).collect()}
+    assert found["decoy_touch"]["alarmed"] == found["decoy_touch"]["episodes"] and found["benign_drift"]["raised"] < 0.3 * found["benign_drift"]["episodes"]
+    for attack in ("port_scan", "dga_dns_tunnel", "exfiltration", "lateral_movement", "credential_stuffing", "c2_beaconing"):
+        assert found[attack]["noticed"] > 0.6 * found[attack]["episodes"], found
+
+
+def test_every_decision_other_than_benign_is_explained(spark):
+    rows = Q.explanations(spark, SF).collect()
+    assert rows and all(r["headline"] and "{" not in r["headline"] + r["reasons"] + r["harmless"] for r in rows)
+    assert all(r["actions"] for r in Q.next_actions(spark, SF).collect())
