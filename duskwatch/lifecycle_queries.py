@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from .cycle_oracle import decision_sql
 from .cycle_queries import DEC, decisions, evidence
 from .operators import identity
+from .operators.stored import shared_dir
 from .plans import cycles, explain, retention, synthetic, tuning
 from .queries import EV, HO, query
+from .sources import feeds, ranges
 from .sources.tables import epoch, events, hosts, table
 
 # --- identities merged and split
@@ -255,3 +258,41 @@ def explanations(s, d):
 @query(f"SELECT user_id, week, state, array_to_string(({_texts(explain.ACTIONS)})[:3], '; ') AS actions FROM dc WHERE state <> 'BENIGN'", EV, HO, DEC)
 def next_actions(s, d):
     return explain.explained(decisions(s, d)).select("user_id", "week", "state", "actions")
+
+
+# --- files of ranges and feeds
+
+RANGES = """rng AS (SELECT p_partkey * 97 AS lo, p_partkey * 97 + p_size * 40 AS hi, p_partkey % 61 AS asn, substr(p_brand, 1, 8) AS country FROM part),
+ cuts AS (SELECT x, lead(x) OVER (ORDER BY x) - 1 AS "to" FROM (SELECT lo AS x FROM rng UNION SELECT hi + 1 FROM rng)),
+ said AS (SELECT x, "to", arg_min(asn, (hi - lo, lo, asn)) AS asn, arg_min(country, (hi - lo, lo, asn)) AS country FROM cuts JOIN rng ON lo <= x AND hi >= "to" WHERE "to" IS NOT NULL GROUP BY 1, 2),
+ runs AS (SELECT *, sum(new) OVER (PARTITION BY asn, country ORDER BY x) AS run FROM (SELECT *, CASE WHEN x - 1 = lag("to") OVER (PARTITION BY asn, country ORDER BY x) THEN 0 ELSE 1 END AS new FROM said))"""
+
+
+def _file(rows, name):
+    """Rows as gzip text of one column, in the shared folder; the folder's path."""
+    path = f"{shared_dir(rows.sparkSession)}/files/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "gzip").text(path)
+    return path
+
+
+@query('SELECT min(x) AS lo, max("to") AS hi, asn, country FROM runs GROUP BY asn, country, run', RANGES)
+def range_load(s, d):
+    """A tab-separated range list, written from the parts with overlaps, read back as disjoint ranges."""
+    k = F.col("p_partkey")
+    line = F.concat_ws("\t", (k * 97).cast("string"), (k * 97 + F.col("p_size") * 40).cast("string"), F.concat(F.lit("AS"), (k % 61).cast("string")), F.substring("p_brand", 1, 8), F.lit("org"))
+    return ranges.load_ranges(s, _file(table(s, d, "part").select(line.alias("value")), "ranges")).select("lo", "hi", "asn", "country")
+
+
+@query("""SELECT DISTINCT kind, value, 0.8::DOUBLE AS confidence, kind || '-feed' AS feed FROM (SELECT 'domain' AS kind, host AS value FROM ho WHERE host LIKE '%.%' UNION ALL SELECT 'url', regexp_replace(lower(url), '^[a-z]+://|[?#].*$', '', 'g') FROM ho WHERE url LIKE '%.%'
+ UNION ALL SELECT 'ip', '10.' || page_id % 200 || '.3.4' FROM ho)""", HO)
+def feed_parse(s, d):
+    """Three shapes of indicator feeds, written from the pages with comments between their lines, read back as indicators."""
+    h = hosts(s, d)
+    lines = {"hostfile": F.concat(F.lit("0.0.0.0 "), F.upper("host")), "url_csv": F.concat(F.lit('"1","2026","'), F.col("url"), F.lit('"')), "ip_csv": F.concat(F.lit("10."), (F.col("page_id") % 200).cast("string"), F.lit(".3.4"))}
+    out = None
+    for shape, line in lines.items():
+        text = h.select(F.explode(F.array(F.lit("# comment"), line, F.lit(""))).alias("value")).where("value IS NOT NULL")
+        kind = {"hostfile": "domain", "url_csv": "url", "ip_csv": "ip"}[shape]
+        part = feeds.feed(s, _file(text, shape), shape, f"{kind}-feed")
+        out = part if out is None else out.unionByName(part)
+    return out
