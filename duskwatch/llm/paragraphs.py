@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .linking import linked_groups
 from .minhash import _verified
-from .work import BROADCAST_ROWS, keeping, written
+from .work import BROADCAST_ROWS, dropped, keeping, written
 
 U = np.uint64
 SHINGLE = 5
@@ -20,13 +20,31 @@ SHINGLE = 5
 BANDS = 3
 #: Paragraphs with fewer words are only compared whole: one shingle more or less already takes them below 0.8.
 LEAST_FUZZY = 8
+#: Words on either side of a break inside a long paragraph.
+APART = 8
+#: Numbers of words beside a run that are compared with those beside others.
+REACH = (3, 6, 9, 12, 16, 20, 26)
+
+
+def _inner_breaks(words: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Breaks in long paragraphs: words whose hash is the least among APART words on either side, where no paragraph begins that near. They follow from those words alone."""
+    n = len(words)
+    least = np.zeros(n, bool)
+    if n > 2 * APART:
+        begun = np.concatenate([[0], np.cumsum(new)])
+        mid = words[APART : n - APART]
+        here = begun[2 * APART + 1 :] == begun[: n - 2 * APART]
+        for k in range(1, APART + 1):
+            here &= (mid < words[APART - k : n - APART - k]) & (mid < words[APART + k : n - APART + k])
+        least[APART : n - APART] = here
+    return least
 
 
 def paragraphs(texts: list[bytes]):
     """Words and paragraphs of texts: word hashes, and for each paragraph its first word, number of words, text and bytes.
 
     A paragraph ends at a line's end, and before a word with a capital or after a . ! or ? unless one of the four words before it in the line is
-    such a word too (a line's first word is after none); so a passage set into another text keeps its paragraphs, and shouted or titled words do not fall apart. Words are compared by their lowered letters and digits; others are no words."""
+    such a word too (a line's first word is after none), and at :func:`_inner_breaks`; so a passage set into another text keeps its paragraphs, and shouted or titled words do not fall apart. Words are compared by their lowered letters and digits; others are no words."""
     buf, at = flat.joined(texts)
     low = flat.lowered(buf)
     starts, ends = flat.bounds(~flat.SPACE[buf])
@@ -48,6 +66,7 @@ def paragraphs(texts: list[bytes]):
     new = mark & ~near
     new[1:] |= (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])
     new[:1] = True
+    new |= _inner_breaks(words, new)
     head = np.flatnonzero(new)
     size = np.diff(np.concatenate([head, [len(words)]]))
     last = head + size - 1
@@ -63,10 +82,7 @@ def _listed(least: int):
             for i, j, texts in flat.chunks(batch):
                 words, doc, head, size, _, _ = paragraphs(texts)
                 owner = np.repeat(np.arange(len(head)), size)
-                place = np.arange(len(words)) - head[owner] if len(head) else np.zeros(0, np.int64)
-                up = np.cumprod(np.full(int(size.max(initial=1)) + 1, U(flat.P)))
-                total = np.add.reduceat(words * up[place], head) if len(head) else np.zeros(0, np.uint64)
-                content = flat.mixed(total + size.astype(np.uint64)) >> U(1)
+                content = _contents(words, head, size)
                 h, first = flat.grams(words, owner, SHINGLE)
                 po = owner[first]
                 begin = np.flatnonzero(np.concatenate([[True], po[1:] != po[:-1]])) if len(po) else np.zeros(0, np.int64)
@@ -109,12 +125,69 @@ def _shingles(as_items: bool):
     return run
 
 
+def _contents(words: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph's words."""
+    owner = np.repeat(np.arange(len(head)), size)
+    place = np.arange(len(words)) - head[owner] if len(head) else np.zeros(0, np.int64)
+    up = np.cumprod(np.full(int(size.max(initial=1)) + 1, U(flat.P)))
+    total = np.add.reduceat(words * up[place], head) if len(head) else np.zeros(0, np.uint64)
+    return flat.mixed(total + size.astype(np.uint64)) >> U(1)
+
+
+def _beside(batches):
+    """Rows (doc_id, paragraph, side, component, reach, h): for each asked paragraph of a text the hash of the REACH words before it (side 0) or after it (side 1).
+
+    Paragraphs are asked by (paragraph, side, component, content); by the content another text under the same id is told apart."""
+    names = ["doc_id", "paragraph", "side", "component", "reach", "h"]
+    for batch in batches:
+        out = {c: [] for c in names}
+        for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            words, _, head, size, _, _ = paragraphs([text.encode()])
+            fit = np.flatnonzero(size >= SHINGLE)
+            content = _contents(words, head, size)[fit].view(np.int64)
+            up, down = flat.powers(len(words))
+            total = np.concatenate([[U(0)], np.cumsum(words * up[: len(words)])])
+            for x in asked:
+                k = x["paragraph"]
+                if k >= len(fit) or content[k] != x["content"]:
+                    continue
+                begin, stop = head[fit[k]], head[fit[k]] + size[fit[k]]
+                for a, b in [(stop, stop + j) for j in REACH if stop + j <= len(words)] if x["side"] else [(begin - j, begin) for j in REACH if j <= begin]:
+                    h = flat.mixed((total[b : b + 1] - total[a : a + 1]) * down[a : a + 1]).view(np.int64)[0]
+                    for c, v in zip(names, (i, k, x["side"], x["component"], b - a, int(h))):
+                        out[c].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in names], names)
+
+
+def _reaching(rows: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, run) of the runs that are too short by their paragraphs alone, but not with the words beside them that stand beside another paragraph of the same component too.
+
+    A passage cut in mid-sentence begins and ends inside a paragraph of its host; those paragraphs differ, the words up to the passage's ends don't."""
+    ends = rows.where(F.col("words") < least_words).groupBy("doc_id", "run", "words").agg(
+        F.min("paragraph").alias("first"), F.max("paragraph").alias("last"), F.min_by("component", "paragraph").alias("low"), F.max_by("component", "paragraph").alias("high"))
+    ends = written(ends)
+    edges = ends.select(F.inline(F.array(F.struct(F.col("low").alias("component"), F.lit(0).alias("side")), F.struct(F.col("high").alias("component"), F.lit(1).alias("side"))))).distinct()
+    edges = written(edges)
+    asked = rows.join(edges, "component").groupBy("doc_id").agg(F.collect_list(F.struct("paragraph", "side", "component", "content")).alias("asked"))  # paragraphs of one text
+    asked = written(asked)
+    some = keeping(texts.where("text IS NOT NULL"), asked.select("doc_id"), "doc_id", asked.count()).join(asked, "doc_id")
+    beside = written(some.select("doc_id", "text", "asked").mapInArrow(_beside, "doc_id long, paragraph long, side long, component long, reach long, h long"))
+    shared = written(beside.groupBy("side", "component", "reach", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    far = written(beside.join(shared, ["side", "component", "reach", "h"]).groupBy("doc_id", "paragraph", "side").agg(F.max("reach").alias("reach")))
+    before, after = (far.where(F.col("side") == k).select("doc_id", F.col("paragraph").alias(c), F.col("reach").alias(f"of_{c}")) for k, c in ((0, "first"), (1, "last")))
+    whole = F.col("words") + F.coalesce("of_first", F.lit(0)) + F.coalesce("of_last", F.lit(0))
+    out = written(ends.join(before, ["doc_id", "first"], "left").join(after, ["doc_id", "last"], "left").where(whole >= least_words).select("doc_id", "run"))
+    dropped(ends, edges, asked, beside, shared, far)
+    return out
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that repeat: one row for each repeated paragraph, doc_id, paragraph, n_words, component_id, kept.
 
     Paragraphs of whole texts are linked if their sets of five-word shingles reach 100 * both >= percent * union, or if their words are equal.
     component_id is the smallest doc_id in a component of links. A paragraph is reported if its component has another occurrence and it stands in
-    an unbroken run of such paragraphs with at least ``least_words`` words, so that stock phrases alone mark no text. Of each component the
+    an unbroken run of such paragraphs with at least ``least_words`` words, so that stock phrases alone mark no text; words beside the run count
+    up to REACH on either side where another paragraph of the same component has them beside it too, so that a passage cut in mid-sentence counts whole. Of each component the
     first occurrence (doc_id, then paragraph) is kept; the others are to be removed. Numbers count the paragraphs of five or more words.
 
     Null, empty and blank texts and shorter paragraphs are never reported. Null ids are left out. Texts that share an id
@@ -145,7 +218,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, least_words: int = 3
     rows = every.select("doc_id", "paragraph", "n_words", "content").join(F.broadcast(names) if count <= BROADCAST_ROWS else names, "content")
     at = W.partitionBy("doc_id").orderBy("paragraph")
     rows = rows.withColumn("new", F.when(F.col("paragraph") - F.lag("paragraph").over(at) <= 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(at))
-    rows = written(rows.withColumn("words", F.sum("n_words").over(W.partitionBy("doc_id", "run"))).where(F.col("words") >= least_words))
+    rows = written(rows.withColumn("words", F.sum("n_words").over(W.partitionBy("doc_id", "run"))))
+    reaching = _reaching(rows, texts, least_words)
+    short = rows.where(F.col("words") < least_words).join(reaching, ["doc_id", "run"], "left_semi")
+    rows = written(rows.where(F.col("words") >= least_words).unionByName(short.select(*rows.columns)))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first)  # so that the join shuffles both sides and a large component can be split over tasks
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))

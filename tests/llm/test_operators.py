@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,7 +158,7 @@ def test_paragraphs_find_planted_passages(spark):
     docs += [(20, prose(rng, 50, 10**6).capitalize() + ". " + " ".join(words)), (30, prose(rng, 300, 10**6)), (31, None), (32, ""), (33, "Too short.")]
     rows = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
     assert {r["doc_id"] for r in rows} == {*range(8), 20}
-    assert {r["component_id"] for r in rows} == {0} and [r["doc_id"] for r in rows if r["kept"]] == [0]
+    assert {r["component_id"] for r in rows} == {0} and {r["doc_id"] for r in rows if r["kept"]} == {0}
 
 
 def test_decontamination_against_full_edit_tables(spark):
@@ -454,11 +455,13 @@ def test_toxicity_equals_whole_chains():
 def test_paragraphs_equal_all_pairs(spark):
     """Links by all pairs of shingle sets, runs and components, from the same cut of texts into paragraphs."""
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows = []
+    rows, spot, whole = [], {}, {}
     for i, t in docs:
         words, _, head, size, _, _ = paragraphs.paragraphs([(t or "").encode()])
         keep = [k for k in range(len(head)) if size[k] >= 5]
+        whole[i] = tuple(words.tolist())
         for number, k in enumerate(keep):
+            spot[i, number] = (head[k], head[k] + size[k])
             w = tuple(words[head[k] : head[k] + size[k]].tolist())
             rows.append(((i, number), w, frozenset(w[j : j + 5] for j in range(len(w) - 4))))
     sets = {w: s for _, w, s in rows}
@@ -481,7 +484,15 @@ def test_paragraphs_equal_all_pairs(spark):
         run += last is None or last[0] != at[0] or at[1] - last[1] > 1
         runs.setdefault(run, []).append((at, w))
         last = at
-    left = [(at, comp[w]) for part in runs.values() if sum(len(w) for _, w in part) >= 30 for at, w in part]
+    def beside(side, at):
+        (start, stop), text = spot[at], whole[at[0]]
+        return [text[stop : stop + j] for j in paragraphs.REACH if stop + j <= len(text)] if side else [text[start - j : start] for j in paragraphs.REACH if j <= start]
+
+    short = {k: part for k, part in runs.items() if sum(len(w) for _, w in part) < 30}
+    edges = {(0, comp[part[0][1]]) for part in short.values()} | {(1, comp[part[-1][1]]) for part in short.values()}
+    shared = Counter((side, comp[w], x) for at, w in many for side in (0, 1) if (side, comp[w]) in edges for x in beside(side, at))
+    reached = {k: sum(max((len(x) for x in beside(side, part[-side][0]) if shared[side, comp[part[-side][1]], x] > 1), default=0) for side in (0, 1)) for k, part in short.items()}
+    left = [(at, comp[w]) for k, part in runs.items() if sum(len(w) for _, w in part) + reached.get(k, 0) >= 30 for at, w in part]
     groups = {}
     for at, c in left:
         groups.setdefault(c, []).append(at)
@@ -539,3 +550,25 @@ def test_paragraphs_do_not_depend_on_the_texts_beside_them():
         alone = paragraphs.paragraphs([text])
         for together, one in zip((size, start, end), alone[3:], strict=True):
             assert together[doc == i].tolist() == one.tolist()
+
+
+@pytest.mark.parametrize(("n", "least"), [(52, 0.9), (60, 0.95), (120, 0.97)])
+def test_passages_cut_in_mid_sentence_are_found(spark, n, least):
+    """Passages of n words from documents of sf0.01, cut anywhere and set anywhere into others: both texts are reported, and the hosts without the passage are not."""
+    rng = random.Random(n)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() if r["text"] and len(r["text"].split()) > 3 * n]
+    rng.shuffle(docs)
+    planted, hosts = [], docs[100:200]
+    for k, (_, text) in enumerate(docs[:100]):
+        words = text.split(" ")
+        at = rng.randrange(len(words) - n)
+        host = hosts[k][1].split(" ")
+        to = rng.randrange(len(host))
+        planted.append((100_000 + k, " ".join(host[:to] + words[at : at + n] + host[to:])))
+    before = {r["doc_id"] for r in paragraphs.repeated_paragraphs(frame(spark, docs[:100] + [(100_000 + k, t) for k, (_, t) in enumerate(hosts)])).select("doc_id").collect()}
+    after = {r["doc_id"] for r in paragraphs.repeated_paragraphs(frame(spark, docs[:100] + planted)).select("doc_id").collect()}
+    asked = [i for i, _ in planted if i not in before]
+    assert len(asked) > 60
+    found = sum(i in after for i in asked) / len(asked)
+    print(n, found)
+    assert found >= least
