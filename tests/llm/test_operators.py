@@ -572,3 +572,14 @@ def test_passages_cut_in_mid_sentence_are_found(spark, n, least):
     found = sum(i in after for i in asked) / len(asked)
     print(n, found)
     assert found >= least
+
+
+def test_equal_lines_of_a_task_are_signed_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "LINES_AT_ONCE", 3)
+    texts = ["Same line here\nother line\n\nsame line here ", "same LINE here\nthird", "other line"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([k], pa.int64()), "text": [t]}) for k, t in enumerate(texts)]
+    rows = [r for out in lines._signed(iter(batches)) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["line"], len(r["keys"])) for r in rows] == [(0, 0, lines.BANDS), (0, 1, lines.BANDS), (0, 3, 0), (1, 0, 0), (1, 1, lines.BANDS), (2, 0, 0)]
+    assert rows[0]["id"] == rows[2]["id"] == rows[3]["id"] and len({r["id"] for r in rows}) == 3
