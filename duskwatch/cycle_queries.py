@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .cycle_oracle import decision_sql, detector_sql
 from .plans import cycles as C
 from .queries import EV, HO, QUERIES, SQL, query, when_n
-from .sources.tables import events, hosts, table
+from .sources.tables import events, hosts
 
 #: The features in SQL, from events and hosts.
 FEATURES = """wk AS (SELECT *, CAST(floor(day / 7.0) AS BIGINT) AS week FROM ev),

@@ -11,7 +11,7 @@ from .operators import graph
 from .queries import EV, HO, n, query, when_n
 from .sources import feeds
 from .sources.tables import events, hosts, table
-from .streaming import changepoints
+from .streaming import anomaly, changepoints
 
 #: Devices as the resolver sees them: an address, a hardware address that some share, a host name, a fingerprint, and when they were last seen.
 DEVICES = """dev AS (SELECT c_custkey AS id, 'mac-' || (c_custkey * 7 % 1301) AS mac, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'host-' || (c_custkey * 11 % 907) END AS host, c_mktsegment AS print,
@@ -489,4 +489,4 @@ def iforest_scores(s, d):
     e = events(s, d).withColumn("week", F.floor(F.col("day") / 7).cast("long"))
     f = e.groupBy("user_id", "week").agg(n().cast("double").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top"), F.countDistinct("k").cast("double").alias("targets"), when_n(F.col("event_type") == "error").cast("double").alias("errors"))
     f = f.withColumn("kind", (F.col("user_id") % 5).cast("long"))
-    return changepoints.isolation_scores(f, "kind", ["n", "total", "top", "targets", "errors"], ["user_id", "week"])
+    return anomaly.group_scores(f, "kind", ["n", "total", "top", "targets", "errors"], ["user_id", "week"])

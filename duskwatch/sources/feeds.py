@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -68,11 +67,11 @@ def alert_sink(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return dated.writeStream.format("json").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_alerts(spark: SparkSession, path: str, days: int) -> DataFrame:
-    """The newest days of an alert folder: only their partitions are read."""
-    every = spark.read.json(path)
+def newest_alerts(spark: SparkSession, path: str, days: int, schema: str | None = None) -> DataFrame:
+    """The newest days of an alert folder: only their partitions are read. With ``schema`` (without the folders' ``date``) an empty folder gives no rows instead of an error."""
+    every = spark.read.schema(f"{schema}, date date").json(path) if schema else spark.read.json(path)
     last = every.select(F.max("date").alias("d")).first()["d"]
-    return every.where(F.col("date") > F.date_sub(F.lit(last), days))
+    return every.where(F.col("date") > F.date_sub(F.lit(last).cast("date"), days))
 
 
 def archive(rows: DataFrame, path: str, before: str) -> DataFrame:
@@ -83,12 +82,17 @@ def archive(rows: DataFrame, path: str, before: str) -> DataFrame:
 
 
 def upsert(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row (by ``ts``) of each key in Parquet versions below ``path``: every batch is merged with the last version into the next."""
+    """Keeps the newest row (by ``ts``, of equal times the larger as JSON text) of each key in Parquet versions below ``path``: every batch is merged with the last version into the next.
+
+    Only the last two versions stay: a batch that is run again after a failure finds the one it began from."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         both = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={number - 1}"), allowMissingColumns=True)
-        newest = F.row_number().over(W.partitionBy(key).orderBy(F.desc("ts")))
-        both.withColumn("__n", newest).where("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{path}/version={number}")
+        newest = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct("ts", F.to_json(F.struct(*both.columns)))).alias("row"))
+        newest.select("row.*").write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

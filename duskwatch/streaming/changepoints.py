@@ -1,18 +1,13 @@
-"""Change points of a device's daily series by Bayesian online run lengths; isolation forests for its features."""
+"""Change points of a device's daily series by Bayesian online run lengths."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Chance of a change a day, share below which a run length is dropped, most run lengths kept, and the mass of short runs that makes a change.
 HAZARD, PRUNE, RUNS, MASS = 1 / 60, 1e-4, 40, 0.5
-#: Trees of a forest and values that each is grown on.
-TREES, SAMPLE = 64, 256
 
 
 def run_lengths(x: np.ndarray) -> list[tuple[int, float, float]]:
@@ -53,69 +48,3 @@ def change_points(daily: DataFrame) -> DataFrame:
         return pd.DataFrame(hit, columns=["user_id", "day", "mass", "surprise"])
 
     return daily.select("user_id", "day", "total").where("total IS NOT NULL").groupBy("user_id").applyInPandas(fold, "user_id long, day long, mass double, surprise double")
-
-
-def _average_path(n: float) -> float:
-    return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-
-def grown(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int, float]]:
-    """An isolation tree as rows (feature, cut, left, right, path length at a leaf): random features and cuts until one value or the depth's end."""
-    nodes: list[tuple[int, float, int, int, float]] = []
-
-    def grow(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, depth + _average_path(len(rows))))
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
-        live = np.flatnonzero(high > low)
-        if len(rows) > 1 and len(live) and depth < int(np.ceil(np.log2(SAMPLE))):
-            f = int(rng.choice(live))
-            cut = float(rng.uniform(low[f], high[f]))
-            nodes[at] = (f, cut, grow(rows[rows[:, f] < cut], depth + 1), grow(rows[rows[:, f] >= cut], depth + 1), 0.0)
-        return at
-
-    grow(x, 0)
-    return nodes
-
-
-def isolation_scores(rows: DataFrame, group: str, columns: list[str], keep: list[str], seed: int = 7) -> DataFrame:
-    """``keep`` and score (0 to 1, higher: more apart) of each row, by a forest for each ``group``.
-
-    A forest is grown on at most SAMPLE * TREES rows of its group, drawn by hash of ``keep``; there are few groups. Rows with a null feature score null."""
-    spark = rows.sparkSession
-    clean = rows.dropna(subset=columns)
-    size = clean.groupBy(group).count()
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE * TREES)) / F.col("count"))
-    drawn = clean.join(F.broadcast(size), group).where(F.pmod(F.xxhash64(*keep), F.lit(1_000_000)) < share * 1_000_000).select(group, *keep, *columns)  # one row a group
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(keep)[columns].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        trees = [grown(x[rng.permutation(len(x))[:SAMPLE]], rng) for _ in range(TREES)]
-        return pd.DataFrame([(key[0], k, *n) for k, t in enumerate(trees) for n in t], columns=[group, "tree", "feature", "cut", "left", "right", "path"])
-
-    kind = dict(rows.dtypes)[group]
-    model = drawn.groupBy(group).applyInPandas(fit, f"{group} {kind}, tree int, feature int, cut double, left int, right int, path double").toPandas()  # TREES * 2 * SAMPLE rows a group at most
-    forests = {g: [t[["feature", "cut", "left", "right", "path"]].to_numpy() for _, t in m.groupby("tree")] for g, m in model.groupby(group)}
-    forests = spark.sparkContext.broadcast(forests)
-    typical = _average_path(SAMPLE)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            x = pdf[columns].to_numpy(float)
-            for g, index in pdf.groupby(group).indices.items():
-                ok = index[~np.isnan(x[index]).any(axis=1)]
-                total = np.zeros(len(ok))
-                for tree in forests.value.get(g, []):
-                    at = np.zeros(len(ok), int)
-                    while (tree[at, 0] >= 0).any():
-                        f = tree[at, 0].astype(int)
-                        side = x[ok, np.maximum(f, 0)] < tree[at, 1]
-                        at = np.where(f >= 0, np.where(side, tree[at, 2], tree[at, 3]).astype(int), at)
-                    total += tree[at, 4]
-                out[ok] = 2 ** (-total / TREES / typical)
-            yield pdf[keep].assign(score=np.round(out, 6))
-
-    types = dict(rows.dtypes)
-    return rows.select(group, *keep, *columns).mapInPandas(score, ", ".join(f"{c} {types[c]}" for c in keep) + ", score double")

@@ -1,7 +1,6 @@
 """Forests by device: warm-up, retraining, rows kept out after threats, and planted outliers."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from duskwatch.streaming import anomaly
 

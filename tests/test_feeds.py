@@ -7,7 +7,7 @@ import numpy as np
 
 from duskwatch.plans import cycles
 from duskwatch.sources import feeds
-from duskwatch.streaming import changepoints
+from duskwatch.streaming import anomaly, changepoints
 
 
 def test_feed_shapes(spark, tmp_path):
@@ -61,7 +61,7 @@ def test_change_points_and_forest(spark):
     assert {r["user_id"] for r in hit} == {1} and min(r["day"] for r in hit) in (30, 31)
     points = [(i, 0, float(rng.normal()), float(rng.normal())) for i in range(400)] + [(999, 0, 9.0, -9.0), (1000, 0, None, 1.0)]
     df = spark.createDataFrame(points, "id long, g long, x double, y double")
-    got = {r["id"]: r["score"] for r in changepoints.isolation_scores(df, "g", ["x", "y"], ["id"]).collect()}
+    got = {r["id"]: r["score"] for r in anomaly.group_scores(df, "g", ["x", "y"], ["id"]).collect()}
     assert max((v, k) for k, v in got.items() if v is not None and v == v)[1] == 999 and (got[1000] is None or got[1000] != got[1000])
     assert all(0 < v < 1 for k, v in got.items() if k != 1000)
 
