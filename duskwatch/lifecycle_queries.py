@@ -296,3 +296,78 @@ def feed_parse(s, d):
         part = feeds.feed(s, _file(text, shape), shape, f"{kind}-feed")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- small operators over identities, payloads and baselines
+
+#: Verdicts as they were stored with an alert, with the stage that gave them.
+STORED = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'FALSE_POSITIVE' WHEN 2 THEN 'UNCERTAIN' ELSE 'CONFIRMED_THREAT' END"
+STAGE = "CASE WHEN k % 3 = 0 THEN 'STAGE_3_COMBINED' WHEN k % 3 = 1 THEN 'STAGE_1_HARD_STOP' END"
+
+
+def canonical_verdict(verdict, stage):
+    """A stored verdict in today's words: a threat confirmed by the combined score alone is only likely real; none stays none."""
+    return F.when((verdict == "CONFIRMED_THREAT") & (stage == "STAGE_3_COMBINED"), "LIKELY_REAL").otherwise(verdict)
+
+
+@query("SELECT event_id, if(event_id % 5 > 2 AND k % 3 = 0, 'LIKELY_REAL', ['FALSE_POSITIVE', 'UNCERTAIN', 'CONFIRMED_THREAT', 'CONFIRMED_THREAT'][event_id % 5]) AS verdict, event_id % 5 > 2 AND NOT coalesce(k % 3 = 0, false) AS confirmed FROM ev", EV)
+def verdict_canonical(s, d):
+    """Stored verdicts in today's words, and which of them are independent confirmations."""
+    verdict = canonical_verdict(F.expr(STORED), F.expr(STAGE))
+    return events(s, d).select("event_id", verdict.alias("verdict"), F.coalesce(verdict == "CONFIRMED_THREAT", F.lit(False)).alias("confirmed"))
+
+
+GENERIC = r"^(|unknown|localhost|none|n/a|device|host-\d{1,2}|\d+(\.\d+){3}|([0-9a-f]{2}[:-]?){6}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
+
+
+@query("SELECT id, host, host IS NULL OR host = '' OR regexp_full_match(host, 'host-[0-9][0-9]?') AS generic FROM pro", PROFILES)
+def generic_hostname(s, d):
+    """Whether a device's name says nothing: empty, a placeholder, an address, a hardware address, a random identifier, or a number given by the router."""
+    host = F.lower(F.trim(F.coalesce("host", F.lit(""))))
+    return profiles(s, d).select("id", "host", host.rlike(GENERIC).alias("generic"))
+
+
+@query("""SELECT o_custkey AS client, arg_max('name-' || o_orderkey % 300, (o_orderdate, o_orderkey)) AS host, max(epoch_us(o_orderdate) / 1e6) AS refreshed FROM orders WHERE o_orderkey % 300 > 9 GROUP BY 1""")
+def hostname_refresh(s, d):
+    """The dimension of names: each client's newest name that is no placeholder, of equal times the one of the larger row."""
+    o = table(s, d, "orders")
+    name = F.concat(F.lit("name-"), (F.col("o_orderkey") % 300).cast("string"))
+    rows = o.where(F.col("o_orderkey") % 300 > 9).select(F.col("o_custkey").alias("client"), name.alias("host"), epoch("o_orderdate").alias("t"), "o_orderkey")
+    return rows.groupBy("client").agg(F.max_by("host", F.struct("t", "o_orderkey")).alias("host"), F.max("t").alias("refreshed"))
+
+
+@query("""SELECT CASE event_type WHEN 'view' THEN 'dns' WHEN 'click' THEN 'http' WHEN 'purchase' THEN 'conn' WHEN 'error' THEN 'notice' ELSE 'other' END AS kind, day, count(*) AS n, count(k) AS with_destination, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS bytes
+ FROM ev GROUP BY 1, 2""", EV)
+def event_dispatch(s, d):
+    """Events dealt to typed streams in one pass: what each stream's day holds, with the columns that only its type has."""
+    kind = F.col("event_type")
+    to = F.when(kind == "view", "dns").when(kind == "click", "http").when(kind == "purchase", "conn").when(kind == "error", "notice").otherwise("other")
+    return events(s, d).groupBy(to.alias("kind"), "day").agg(F.count("*").alias("n"), F.count("k").alias("with_destination"), F.round(F.sum(F.when(kind == "purchase", F.col("value")).otherwise(0.0)), 4).alias("bytes"))
+
+
+@query("""SELECT user_id, string_agg(event_type || '=' || v, ';' ORDER BY event_type) AS payload FROM (SELECT user_id, event_type, arg_max(coalesce(k, -1), (t, event_id)) AS v FROM ev GROUP BY 1, 2) GROUP BY 1""", EV)
+def payload_patch(s, d):
+    """A decision's payload after its patches: of each field the newest value wins, of equal times the later row's."""
+    newest = events(s, d).groupBy("user_id", "event_type").agg(F.max_by(F.coalesce("k", F.lit(-1)), F.struct("t", "event_id")).alias("v"))
+    field = F.struct("event_type", F.concat_ws("=", "event_type", F.col("v").cast("string")).alias("text"))
+    return newest.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(field)), lambda x: x["text"]), ";").alias("payload"))
+
+
+REGIMES = "reg AS (SELECT user_id, event_type AS metric, floor(day / 10)::BIGINT AS regime, max(t) AS t FROM ev GROUP BY 1, 2, 3)"
+
+
+@query("SELECT user_id, metric, regime FROM reg WHERE regime = (SELECT max(regime) FROM reg r WHERE r.user_id = reg.user_id AND r.metric = reg.metric) OR t >= (SELECT max(t) FROM reg) - 30 * 86400", EV, REGIMES)
+def stale_regimes(s, d):
+    """Baselines that stay: each device and metric's current regime, and superseded ones while younger than thirty days."""
+    rows = events(s, d).groupBy("user_id", F.col("event_type").alias("metric"), F.floor(F.col("day") / 10).cast("long").alias("regime")).agg(F.max("t").alias("t"))
+    now = rows.groupBy("user_id", "metric").agg(F.max("regime").alias("current"))
+    last = rows.agg((F.max("t") - 30 * 86_400).alias("least"))
+    return rows.join(now, ["user_id", "metric"]).join(F.broadcast(last)).where("regime = current OR t >= least").select("user_id", "metric", "regime")  # one row
+
+
+@query("""SELECT g.canonical AS id, arg_max(m.id, (trained, m.id)) AS model_of, max(trained) AS trained, count(*) - 1 AS dropped FROM (SELECT id, last_seen AS trained FROM pro) m JOIN grp g USING (id) GROUP BY 1""", PROFILES)
+def model_rekey(s, d):
+    """Models of merged devices under the canonical id: the one trained last moves there, the others go."""
+    rows = profiles(s, d).select("id", F.col("last_seen").alias("trained")).join(groups(s, d), "id")
+    best = F.struct("trained", "id")
+    return rows.groupBy("canonical").agg(F.max_by("id", best).alias("model_of"), F.max("trained").alias("trained"), (F.count("*") - 1).alias("dropped")).withColumnRenamed("canonical", "id")
