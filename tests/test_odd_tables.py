@@ -36,13 +36,13 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["match_confidence"])
+@pytest.mark.parametrize("name", ["match_confidence", "entity_links"])
 def test_pairs_leave_the_join_without_a_shuffle(spark, name):
     text = plan(library.QUERIES[name](spark, SF))
     assert "Aggregate" not in text and text.count("Join") == 2, text
 
 
-@pytest.mark.parametrize("name", ["match_confidence"])
+@pytest.mark.parametrize("name", ["match_confidence", "entity_links"])
 def test_pairs_of_repeated_devices(spark, against_sql, name):
     """Rows that repeat a device's id, alike or with another fingerprint, count in each of their pairs."""
     rows = [(k, f"c{k}", k % 25, k * 0.5, ("A", "B", None)[k % 3]) for k in range(0, 1301 * 3, 13)] + [(26, "c", 1, 3.0, "A"), (26, "c", 1, 3.0, "B"), (39, "c39", 14, 19.5, "A")]
