@@ -47,3 +47,9 @@ def test_pairs_of_repeated_devices(spark, against_sql, name):
     """Rows that repeat a device's id, alike or with another fingerprint, count in each of their pairs."""
     rows = [(k, f"c{k}", k % 25, k * 0.5, ("A", "B", None)[k % 3]) for k in range(0, 1301 * 3, 13)] + [(26, "c", 1, 3.0, "A"), (26, "c", 1, 3.0, "B"), (39, "c39", 14, 19.5, "A")]
     assert against_sql(name, "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
+
+
+def test_owner_by_large_ids(spark, against_sql):
+    """Ids that differ by more than a hundredth's weight decide against the time last seen."""
+    rows = [(211 * k + r, "c", 1, 10.0 + (k * 7 % 5) / 100, "A") for k in range(0, 900, 60) for r in (0, 3)] + [(5, "c", 1, None, "A"), (216, "c", 1, 1.0, "A"), (7, "c", 1, None, "A")]
+    assert against_sql("addr_owner", "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
