@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables made to be odd: repeated keys, large ids, values on a limit."""
 
 import contextlib
+import hashlib
 import io
 import shutil
 
@@ -53,3 +54,11 @@ def test_owner_by_large_ids(spark, against_sql):
     """Ids that differ by more than a hundredth's weight decide against the time last seen."""
     rows = [(211 * k + r, "c", 1, 10.0 + (k * 7 % 5) / 100, "A") for k in range(0, 900, 60) for r in (0, 3)] + [(5, "c", 1, None, "A"), (216, "c", 1, 1.0, "A"), (7, "c", 1, None, "A")]
     assert against_sql("addr_owner", "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
+
+
+def test_digests_that_look_like_interface_ids(spark, against_sql):
+    """A digest that happens to hold ff:fe in its middle is no interface id."""
+    chance = [k for k in range(400_000) if k % 3 and hashlib.md5(str(k).encode()).hexdigest()[6:10] == "fffe"]
+    assert chance
+    rows = [(k, "c", 1, 1.0, "A") for k in [*chance, 0, 3, 4, 300_000]]
+    assert against_sql("eui64", "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
