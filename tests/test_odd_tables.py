@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables made to be odd: repeated keys, large ids, values on a limit."""
 
 import contextlib
+import datetime
 import hashlib
 import io
 import shutil
@@ -62,3 +63,12 @@ def test_digests_that_look_like_interface_ids(spark, against_sql):
     assert chance
     rows = [(k, "c", 1, 1.0, "A") for k in [*chance, 0, 3, 4, 300_000]]
     assert against_sql("eui64", "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
+
+
+def test_sessions_end_at_exactly_half_a_day(spark, against_sql):
+    rows, begin = [], datetime.datetime(2024, 1, 1)
+    for user, gap in enumerate((43_199.0, 43_199.999999, 43_200.0, 43_200.5, 43_201.0)):
+        for part in (0.0, 0.25):
+            rows += [(len(rows) + k, begin + datetime.timedelta(seconds=part + k * gap), 2 * user + (part > 0), "view", 1.0, '{"k": 1}') for k in range(4)]
+    types = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    assert against_sql("session_gap", "events", spark.createDataFrame(rows, types)) == ""
