@@ -43,3 +43,17 @@ def ranked(rows: DataFrame, order: list, groups: list[str], within) -> DataFrame
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("size"))
     first = sizes.withColumn("first", F.sum("size").over(W.orderBy(*order)) - F.col("size")).drop("size")  # one row for each group
     return rows.join(first, groups).withColumn("rank", F.col("first") + F.row_number().over(W.partitionBy(*groups).orderBy(within))).drop("first")
+
+
+def elsewhere(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+    """``rows`` (id, ip, seen and others) with ``name``: the smallest id among the rows of the same ``group`` seen strictly earlier at another ip, null without one.
+
+    The smallest id so far and the smallest at any other ip than that one's are both running minima: when a smaller id comes from another ip, the former
+    smallest takes the second place. A row at the smallest id's ip takes the second, any other the first. One sort for each group, no pairs."""
+    order = W.partitionBy(*group).orderBy("seen", "id")
+    earlier = W.partitionBy(*group).orderBy("__at").rangeBetween(W.unboundedPreceding, -1)
+    out = rows.where("ip IS NOT NULL").withColumn("__at", F.dense_rank().over(W.partitionBy(*group).orderBy("seen")))
+    out = out.withColumn("__so_far", F.min(F.struct("id", "ip")).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    out = out.withColumn("__second", F.when(F.col("ip") != F.col("__so_far.ip"), F.greatest("id", "__so_far.id")))
+    out = out.withColumn("__first", F.min(F.struct("id", "ip")).over(earlier)).withColumn("__second", F.min("__second").over(earlier))
+    return out.withColumn(name, F.when(F.col("ip") != F.col("__first.ip"), F.col("__first.id")).otherwise(F.col("__second"))).drop("__at", "__so_far", "__first", "__second")

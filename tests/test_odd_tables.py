@@ -4,6 +4,7 @@ import contextlib
 import datetime
 import hashlib
 import io
+import random
 import shutil
 
 import pytest
@@ -72,3 +73,15 @@ def test_sessions_end_at_exactly_half_a_day(spark, against_sql):
             rows += [(len(rows) + k, begin + datetime.timedelta(seconds=part + k * gap), 2 * user + (part > 0), "view", 1.0, '{"k": 1}') for k in range(4)]
     types = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     assert against_sql("session_gap", "events", spark.createDataFrame(rows, types)) == ""
+
+
+def test_reidentified_by_large_ids_ties_and_shared_addresses(spark, against_sql):
+    """Few names with many devices, few times and addresses; ids beyond a fingerprint's weight of a million; a device that stands several times."""
+    draw = random.Random(7)
+    keys = [907 * draw.randrange(1, 4000) + r for r in (1, 2, 3) for _ in range(150)] + [907 * 211 * k + 4 for k in range(40)]
+    rows = [(k, "c", 1, draw.choice([1.0, 2.0, 2.5, 3.25, 9.0, None]), draw.choice(["A", "B", None])) for k in keys + keys[::9]]
+    assert against_sql("reidentify", "customer", spark.createDataFrame(rows, CUSTOMER)) == ""
+
+
+def test_reidentify_pairs_no_devices(spark):
+    assert "Join" not in plan(library.QUERIES["reidentify"](spark, SF))
