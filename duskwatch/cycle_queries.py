@@ -237,10 +237,10 @@ PROB = "round(least(1.0, greatest(0.0, 0.92 - 0.2 * sources - 0.1 * attack + 0.1
 
 
 def judged(s, d):
-    """Alerts with the trust that earlier quiet weeks of the same device and hypothesis have left; trust lasts three weeks."""
-    c = decisions(s, d)
-    trust = c.where("state = 'BENIGN'").groupBy("user_id", "attack_name").agg(F.max("week").alias("last_week"), F.count("*").alias("uses"))
-    rows = c.where("state <> 'BENIGN'").join(trust, ["user_id", "attack_name"], "left")
+    """Alerts with the trust that earlier quiet weeks of the same device and hypothesis have left; trust lasts three weeks. Decisions are made once, for trust and alerts alike."""
+    same, quiet = W.partitionBy("user_id", "attack_name"), F.col("state") == "BENIGN"
+    last = F.max(F.when(quiet & F.col("user_id").isNotNull(), F.col("week"))).over(same)
+    rows = decisions(s, d).withColumn("last_week", last).where("state <> 'BENIGN'")
     return rows.withColumn("cached", F.col("last_week").isNotNull() & (F.col("last_week") < F.col("week")) & (F.col("week") - F.col("last_week") <= 3))
 
 

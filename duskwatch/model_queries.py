@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .cycle_queries import PROB, STOPS, VECTOR, decisions, judged
+from .operators.stored import written
 from .plans import classifier
 from .plans import cycles as C
 from .queries import query
@@ -21,7 +22,7 @@ def reviewed(s, d):
 @query()
 def fp_classifier(s, d):
     """Probability of every alert to be a false positive, of the boosted trees if the gate accepts them, else of the rule, beside the gate's figures."""
-    rows = reviewed(s, d)
+    rows = written(reviewed(s, d))  # read by training and again by scoring
     model = classifier.train(rows, VECTOR, "label", ["user_id", "week"])
     gate = F.struct(F.lit(model.gate.held_out).alias("held_out"), F.lit(model.gate.accuracy).cast("double").alias("accuracy"), F.lit(model.gate.separation).cast("double").alias("separation"), F.lit("; ".join(model.gate.reasons)).alias("reasons"))
     return model.scored(rows, F.col("fallback")).select("user_id", "week", F.round("probability", 6).alias("probability"), "by", gate.alias("gate"))

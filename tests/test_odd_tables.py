@@ -9,7 +9,7 @@ import shutil
 
 import pytest
 
-from duskwatch import entity_queries as Q
+from duskwatch import cycle_queries, entity_queries, lifecycle_queries, model_queries  # noqa: F401  (registers their queries)
 from duskwatch import queries as library
 
 from .compare import differences, duck
@@ -85,3 +85,9 @@ def test_reidentified_by_large_ids_ties_and_shared_addresses(spark, against_sql)
 
 def test_reidentify_pairs_no_devices(spark):
     assert "Join" not in plan(library.QUERIES["reidentify"](spark, SF))
+
+
+def test_trust_reads_events_as_often_as_decisions(spark):
+    """Alerts and their trust come from one pass over the decisions, and decisions from four over the events (destinations, gaps, sizes, shared destinations) and one over the names."""
+    scans = lambda name: plan(library.QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count("FileScan parquet")
+    assert scans("trust_cache") == scans("cycle_features") <= 5
