@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .cycle_oracle import decision_sql
 from .cycle_queries import DEC, decisions, evidence
 from .operators import identity
-from .operators.stored import shared_dir
+from .operators.stored import shared_dir, written
 from .plans import cycles, explain, retention, synthetic, tuning
 from .queries import EV, HO, query
 from .sources import feeds, ranges
@@ -228,8 +228,11 @@ EPISODES = f"""lastw AS (SELECT user_id AS device, max(CAST(floor(day / 7.0) AS
 def episode_recall(s, d):
     """Seven classes of synthetic attacks and benign drift through the whole plan, by class: clones that are noticed, that raise an alarm, and whose state outranks their device's own that week."""
     real = events(s, d)
-    stream, cases = synthetic.episodes(real)
-    done = cycles.decided(cycles.detected(cycles.features(stream.unionByName(real.select(*stream.columns)), hosts(s, d)))).select("user_id", "week", "state")
+    _, cases = synthetic.episodes(real, last_week=True)
+    last = cases.select("device", "week").distinct()
+    # decisions follow from their row alone, so only those of the episodes' weeks are made, once
+    seen = cycles.features(synthetic.counted(real), hosts(s, d)).join(last, ["device", "week"], "left_semi")
+    done = written(cycles.decided(cycles.detected(seen)).select("user_id", "week", "state"))
     own = done.select(F.col("user_id").alias("device"), "week", F.col("state").alias("own"))
     rows = done.join(cases, ["user_id", "week"]).join(own, ["device", "week"])
     found = {"noticed": F.col("state").isin("SUSPICIOUS", "HIGH", "CRITICAL"), "alarmed": F.col("state").isin("HIGH", "CRITICAL"), "raised": tuning.rank("state") > tuning.rank("own")}

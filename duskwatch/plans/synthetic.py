@@ -28,10 +28,11 @@ def random_of(seed: int, *parts: str) -> Column:
     return F.expr(f"({mixed}) % {MODULUS} * {MULTIPLIER} % {MODULUS} * {MULTIPLIER} % {MODULUS}")
 
 
-def episodes(events: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def episodes(events: DataFrame, seed: int = 1, last_week: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events of all clones, episodes) for every device of ``events`` and every class: a clone repeats the device's events and, in the device's last week, has the class's events besides.
 
-    Episodes are rows (user_id of the clone, week, device, attack). The same seed gives the same rows, wherever and however often they are made."""
+    Episodes are rows (user_id of the clone, week, device, attack). The same seed gives the same rows, wherever and however often they are made.
+    With ``last_week`` a clone repeats only the events of that week: the rest is its device's own, which :func:`counted` marks."""
     week = F.floor(F.col("day") / 7).cast("long")
     device = events.groupBy(F.col("user_id").alias("device")).agg(F.max(week).alias("week"))
     shapes = F.array(*[F.struct(F.lit(n).alias("c"), F.lit(name).alias("attack"), F.lit(count).alias("count")) for n, (name, count, *_) in enumerate(CLASSES)])
@@ -46,5 +47,19 @@ def episodes(events: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     t = (F.col("week") * 604_800).cast("double") + by_class(5, "DOUBLE") % 604_800
     new = rows.select((F.lit(-1) - F.col("i")).cast("long").alias("event_id"), "user_id", by_class(2, "STRING").alias("event_type"), by_class(4, "DOUBLE").alias("value"), t.alias("t"), by_class(3, "INT").alias("k"))
     new = new.withColumn("day", F.floor(F.col("t") / 86_400).cast("long")).withColumn("hour", F.floor(F.col("t") / 3600).cast("long") % 24)
-    own = events.withColumnRenamed("user_id", "device").join(cases.select("device", "user_id"), "device").select(*new.columns)
+    same = ["device", "week"] if last_week else ["device"]
+    own = events.withColumnRenamed("user_id", "device").withColumn("week", week).join(cases.select(*same, "user_id"), same).select(*new.columns)
     return own.unionByName(new), cases.select("user_id", "week", "device", "attack")
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """The devices' own events and those of their clones' last weeks together, with ``device`` (whose earlier weeks are theirs) and ``copies``.
+
+    An event before its device's last week stands for itself and for every clone, so a clone's earlier weeks are counted without being made."""
+    clones, cases = episodes(events, last_week=True)
+    week = F.floor(F.col("day") / 7).cast("long")
+    last = cases.select("device", F.col("week").alias("last")).distinct()
+    own = events.select(*clones.columns, F.col("user_id").alias("device")).join(last, "device", "left")
+    own = own.select(*clones.columns, "device", F.when(week < F.col("last"), 1 + len(CLASSES)).otherwise(1).cast("long").alias("copies"))
+    device = F.floor((F.col("user_id") - FIRST_CLONE) / APART / len(CLASSES)).cast("long")
+    return own.unionByName(clones.select("*", device.alias("device"), F.lit(1).cast("long").alias("copies")))

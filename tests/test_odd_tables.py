@@ -8,6 +8,7 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from duskwatch import cycle_queries, entity_queries, lifecycle_queries, model_queries  # noqa: F401  (registers their queries)
 from duskwatch import queries as library
@@ -91,3 +92,21 @@ def test_trust_reads_events_as_often_as_decisions(spark):
     """Alerts and their trust come from one pass over the decisions, and decisions from four over the events (destinations, gaps, sizes, shared destinations) and one over the names."""
     scans = lambda name: plan(library.QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count("FileScan parquet")
     assert scans("trust_cache") == scans("cycle_features") <= 5
+
+
+def test_counted_clones_have_the_features_of_whole_ones(spark):
+    """Clones made of their last week alone, with earlier weeks counted by their devices, against clones made of all their events."""
+    from duskwatch.plans import cycles, synthetic
+    from duskwatch.sources.tables import events, hosts
+
+    real, names = events(spark, SF), hosts(spark, SF)
+    whole, cases = synthetic.episodes(real)
+    counted = synthetic.counted(real)
+    every = whole.unionByName(real.select(*whole.columns))
+    assert counted.count() < 0.6 * every.count()
+    keys = cases.select("user_id", "week").union(cases.select(F.col("device"), "week")).distinct()
+    expected = cycles.features(every, names).join(keys, ["user_id", "week"])
+    found = cycles.features(counted, names).join(keys, ["user_id", "week"])
+    columns = sorted(expected.columns)
+    a, b = (sorted((tuple(r) for r in df.select("user_id", "week", *columns).collect()), key=lambda r: r[:2]) for df in (expected, found))
+    assert len(a) == keys.count() and a == b
