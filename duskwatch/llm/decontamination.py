@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,8 @@ ALONE = 60
 BLOCK_BYTES = 4_000_000
 #: Items reduced to fewer bytes have no room for windows and are looked up whole, between word ends.
 LEAST_BYTES = 24
-#: Hits that are compared, and pairs that are verified, at once.
-AT_ONCE, PAIRS_AT_ONCE = 200_000, 4000
+#: Hits that are compared, and pairs that are verified, at once; starts that are walked at once, so that their arrays stay in the processor's cache.
+AT_ONCE, PAIRS_AT_ONCE, STARTS_AT_ONCE = 16_000, 2000, 16_000
 
 _rng = np.random.default_rng(1729)
 #: One random bit for each walk, step and byte: whether the walk moves on in the input after this byte. A walk stays at a text's end.
@@ -34,6 +36,10 @@ SAMPLES: list[list] = []
 for _w in range(WALKS):
     _kept = {0, *(1 + _rng.permutation(STEPS - 1)[: KEPT - 1]).tolist()}
     SAMPLES.append([_rng.integers(1, 2**63, 256, dtype=np.uint64) if k in _kept else None for k in range(STEPS)])
+#: Numbers of the bytes that reduced texts are made of.
+BYTES = np.flatnonzero(np.isin(flat.LOWER, np.flatnonzero(flat.ALNUM)) & (np.arange(256) == flat.LOWER) | np.isin(np.arange(256), (10, 32)))
+CLASS = np.zeros(256, np.intp)
+CLASS[BYTES] = np.arange(len(BYTES))
 
 
 def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,36 +63,87 @@ def windows(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
 
 
-def sampled_bits(buf: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
-    """Hash of the sampled positions of the CGK embedding of the window at each start.
+@cache
+def _strides(walk: int) -> list[np.ndarray]:
+    """For every two steps of a walk, by the numbers of the byte it stands on and of the next: the sum of the steps' values, with their moves in the two lowest bits."""
+    here, after = np.repeat(BYTES, len(BYTES)), np.tile(BYTES, len(BYTES))
+    out = []
+    for step in range(0, STEPS, 2):
+        one, two = SAMPLES[walk][step : step + 2]
+        moved = MOVES[walk, step][here]
+        second = np.where(moved == 1, after, here)
+        value = (0 if one is None else one[here]) + (0 if two is None else two[second]) + np.zeros(len(here), np.uint64)
+        out.append(value & ~U(3) | (moved + MOVES[walk, step + 1][second]).astype(np.uint64))
+    return out
+
+
+def strided(buf: np.ndarray) -> np.ndarray:
+    """The number of each byte and the next together."""
+    kind = CLASS[buf]
+    pair = kind * len(BYTES)
+    pair[:-1] += kind[1:]
+    return pair
+
+
+def sampled_bits(pair: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
+    """Hash of the sampled positions of the CGK embedding of the window at each start of a buffer given by :func:`strided`.
 
     The walk copies the current byte to the output at every step and moves on in the input by a random bit of step and byte; after an edit
     two walks fall into step again, so edit distance becomes Hamming distance. At the end of a text it stays."""
-    at = starts.astype(np.int32)
-    key = np.zeros(len(at), np.uint64)
-    for step, value in enumerate(SAMPLES[walk]):
-        c = buf.take(at)
-        if value is not None:
-            key += value.take(c)
-        at += MOVES[walk, step].take(c)
-    return flat.mixed(key)
-
-
-def agreements(one: np.ndarray, at_one: np.ndarray, two: np.ndarray, at_two: np.ndarray) -> np.ndarray:
-    """Steps in which the CGK embeddings of two windows agree; 0 for pairs with too few. An item's last windows end before the walk does."""
-    out = np.zeros(len(at_one), np.int32)
-    live, p, q = np.arange(len(at_one)), at_one.astype(np.int32), at_two.astype(np.int32)
-    same, taken, step = np.zeros(len(p), np.int32), np.zeros(len(p), np.int32), 0
-    for stop, spread in zip(COMPARED, SPREAD, strict=True):
-        for k in range(step, stop):
-            x, y = one.take(p), two.take(q)
-            inside = x != 10
-            taken += inside
-            same += (x == y) & inside
-            p += MOVES[0, k].take(x)
-            q += MOVES[0, k].take(y)
-        ok = same >= taken / 4 + spread * np.sqrt(taken)
-        live, p, q, same, taken, step = live[ok], p[ok], q[ok], same[ok], taken[ok], stop
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(0, len(starts), STARTS_AT_ONCE):
+        begin = starts[k : k + STARTS_AT_ONCE].astype(np.intp)
+        at, key = begin.copy(), np.zeros(len(begin), np.uint64)
+        for table in _strides(walk):
+            got = table.take(pair.take(at))
+            key += got
+            got &= U(3)
+            at += got.view(np.int64)
+        at -= begin
+        key -= at.view(np.uint64)
+        out[k : k + STARTS_AT_ONCE] = flat.mixed(key)
+    return out
+
+
+def embedded(buf: np.ndarray, starts: np.ndarray, steps: int, rest: int) -> np.ndarray:
+    """The first ``steps`` bytes of walk 0 from each start, eight in a word, as rows of words; the last word is filled up with bytes ``rest``."""
+    out = np.zeros((-(-steps // 8), len(starts)), np.uint64)
+    for begin in range(0, len(starts), STARTS_AT_ONCE):
+        at = starts[begin : begin + STARTS_AT_ONCE].astype(np.intp)
+        part = np.full((len(at), 8 * len(out)), rest, np.uint8)
+        for k in range(steps):
+            c = buf.take(at)
+            part[:, k] = c
+            at += MOVES[0, k].take(c)
+        out[:, begin : begin + STARTS_AT_ONCE] = part.view(np.uint64).T
+    return out
+
+
+LOW = U(0x7F7F7F7F7F7F7F7F)
+
+
+def agreements(items: Items, window: np.ndarray, first: np.ndarray, buf: np.ndarray, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Steps in which the CGK embeddings of items' windows and of those at starts[place] of buf agree; 0 for pairs with too few.
+
+    ``first`` holds the starts' embeddings for the first part of COMPARED. An item's last windows end before the walk does: its bytes are 0 from there on and agree with none."""
+    out = np.zeros(len(window), np.int32)
+    live, two, row = np.arange(len(window)), first, place
+    for part, stop in enumerate(COMPARED):
+        if part:
+            each, row = np.unique(place[live], return_inverse=True)
+            two = embedded(buf, starts[each], stop, 1)
+        w = window[live] if part else window
+        same = np.zeros(len(w), np.uint8)
+        for one, other in zip(items.embedded[part], two, strict=True):
+            x = one.take(w)
+            x ^= other.take(row)
+            y = x & LOW
+            y += LOW
+            y |= x
+            y |= LOW  # each byte of x that is 0 now lacks its highest bit
+            same += 64 - np.bitwise_count(y)
+        ok = np.flatnonzero(same >= items.least[part].take(w))
+        live, same = live[ok], same[ok]
     out[live] = same
     return out
 
@@ -106,9 +163,20 @@ class Items:
         ok = room & (size >= LEAST_BYTES)[self.item] if len(self.item) else room
         self.starts, self.item = self.starts[ok], self.item[ok]
         self.offset = self.starts - self.at[self.item]
+        every = embedded(self.buf, self.starts, COMPARED[-1], 0)
+        every = every.T.copy().view(np.uint8)
+        every[every == 10] = 0
+        self.embedded, self.least = [], []
+        for stop, spread in zip(COMPARED, SPREAD, strict=True):
+            part = every[:, : -(-stop // 8) * 8].copy()
+            part[:, stop:] = 0
+            taken = (part > 0).sum(axis=1)
+            self.embedded.append(part.view(np.uint64).T.copy())
+            self.least.append(np.ceil(taken / 4 + spread * np.sqrt(taken)).astype(np.uint8))
         self.tables = []
+        pair = strided(self.buf)
         for w in range(WALKS):
-            key = sampled_bits(self.buf, self.starts, w)
+            key = sampled_bits(pair, self.starts, w)
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << 22, bool)
             seen[(key >> U(42)).astype(np.int64)] = True
@@ -121,11 +189,11 @@ class Items:
         """Edits that an occurrence of the item may have."""
         return len(self.texts[item]) * (100 - self.percent) // 100
 
-    def hits(self, buf: np.ndarray):
-        """(window of an item, start in buf) pairs that share a bit sample, in bounded parts."""
-        starts = windows(buf)
+    def hits(self, buf: np.ndarray, starts: np.ndarray):
+        """(window of an item, number of a start in buf) pairs that share a bit sample, in bounded parts."""
+        pair = strided(buf)
         for w, (seen, key, order) in enumerate(self.tables):
-            got = sampled_bits(buf, starts, w)
+            got = sampled_bits(pair, starts, w)
             maybe = np.flatnonzero(seen[(got >> U(42)).astype(np.int64)])
             lo, hi = np.searchsorted(key, got[maybe], "left"), np.searchsorted(key, got[maybe], "right")
             total = np.cumsum(hi - lo)
@@ -134,16 +202,18 @@ class Items:
                 end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, "right")))
                 n = (hi - lo)[begin:end]
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:end], n)
-                yield order[place], np.repeat(starts[maybe[begin:end]], n)
+                yield order[place], np.repeat(maybe[begin:end], n)
                 begin = end
 
     def candidates(self, buf: np.ndarray) -> list[tuple[int, int]]:
         """(item, where it would start in buf): item-sized windows whose embeddings are near by Hamming distance."""
         parts = []
-        for window, start in self.hits(buf):
-            same = agreements(self.buf, self.starts[window], buf, start)
+        starts = windows(buf)
+        first = embedded(buf, starts, COMPARED[0], 1)
+        for window, place in self.hits(buf, starts):
+            same = agreements(self, window, first, buf, starts, place)
             ok = same > 0
-            parts.append((window[ok], start[ok] - self.offset[window[ok]], same[ok]))
+            parts.append((window[ok], starts[place[ok]] - self.offset[window[ok]], same[ok]))
         if not parts:
             return []
         window, begin, same = (np.concatenate([x[k] for x in parts]) for k in range(3))
@@ -184,38 +254,48 @@ def nearest(goals: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     size, length = np.array([len(g) for g in goals]), np.array([len(t) for t in texts])
     words = max(1, -(-int(size.max()) // 64))
     kinds = {g: k for k, g in enumerate(dict.fromkeys(goals))}
-    match = np.zeros((len(kinds), words, 256), np.uint64)
+    match = np.zeros((words, len(kinds), 256), np.uint64)
     for g, k in kinds.items():
         for at, c in enumerate(g):
-            match[k, at >> 6, c] |= U(1 << (at & 63))
-    kind = np.array([kinds[g] for g in goals])
+            match[at >> 6, k, c] |= U(1 << (at & 63))
+    match = match.reshape(words, -1)
+    kind = np.array([kinds[g] for g in goals], np.intp) << 8
     text = np.full((len(texts), int(length.max(initial=0))), 10, np.uint8)
     for k, t in enumerate(texts):
         text[k, : len(t)] = np.frombuffer(t, np.uint8)
+    text = text.T.copy()
     up, down = np.full((words, len(goals)), U(2**64 - 1)), np.zeros((words, len(goals)), np.uint64)
     last, bit = (size - 1) >> 6, ((size - 1) & 63).astype(np.uint64)
     one, score = U(1), size.copy()
+    ends_in = [np.flatnonzero(last == w) for w in range(words)]
+    ends_in = [here if len(here) < len(goals) else slice(None) for here in ends_in]
+    bits = [bit[here] for here in ends_in]
     best, end = size.copy(), np.zeros(len(goals), np.int64)  # the empty piece
-    for col in range(text.shape[1]):
-        c = text[:, col]
+    for col in range(len(text)):
+        c = text[col] + kind
         more, less = np.zeros(len(goals), np.uint64), np.zeros(len(goals), np.uint64)
         for w in range(words):
-            eq = match[kind, w, c]
+            eq = match[w].take(c)
             pv, mv = up[w], down[w]
             xv = eq | mv
-            eq = eq | less
-            xh = (((eq & pv) + pv) ^ pv) | eq
+            eq |= less
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
             ph, mh = mv | ~(xh | pv), pv & xh
-            here = last == w
-            if here.any():
-                step = ((ph >> bit) & one).astype(np.int64) - ((mh >> bit) & one).astype(np.int64)
-                score = np.where(here, score + step, score)
+            here = ends_in[w]
+            if len(bits[w]):
+                score[here] += ((ph[here] >> bits[w]) & one).view(np.int64) - ((mh[here] >> bits[w]) & one).view(np.int64)
             out_more, out_less = ph >> U(63), mh >> U(63)
-            ph, mh = ph << one | more, mh << one | less
+            ph <<= one
+            ph |= more
+            mh <<= one
+            mh |= less
             more, less = out_more, out_less
             up[w], down[w] = mh | ~(xv | ph), ph & xv
-        better = (score < best) & (col < length)
-        best, end = np.where(better, score, best), np.where(better, col + 1, end)
+        better = np.flatnonzero((score < best) & (col < length))
+        best[better], end[better] = score[better], col + 1
     return best, end
 
 
