@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,27 +101,44 @@ def _listed(least: int):
     return run
 
 
+def _places(lists: pa.ListArray, words: np.ndarray, doc: np.ndarray, head: np.ndarray, size: np.ndarray, count: int):
+    """For the asked paragraphs of texts: the number of the text, the paragraph among all of them, and the rows asked as columns; those that a text does not have with that content are left out."""
+    fit = np.flatnonzero(size >= SHINGLE)
+    content, owner = _contents(words, head, size)[fit].view(np.int64), doc[head[fit]]
+    begin, end = np.searchsorted(owner, np.arange(count), "left"), np.searchsorted(owner, np.arange(count), "right")
+    rows = lists.flatten()
+    asked = {rows.type.field(k).name: pc.struct_field(rows, [k]).to_numpy(zero_copy_only=False) for k in range(rows.type.num_fields)}
+    text = np.repeat(np.arange(count), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    place = begin[text] + asked["paragraph"]
+    ok = np.flatnonzero(place < end[text])
+    ok = ok[content[place[ok]] == asked["content"][ok]]
+    return text[ok], fit[place[ok]], {k: v[ok] for k, v in asked.items()}
+
+
 def _shingles(as_items: bool):
     """Shingle sets of the asked paragraphs (paragraph, content) of each text."""
 
     def run(batches):
         for batch in batches:
-            ids, out, items, counts = [], [], [], []
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, _, head, size, _, _ = paragraphs([text.encode()])
-                fit = np.flatnonzero(size >= SHINGLE)
-                for x in asked:
-                    k = fit[x["paragraph"]]
-                    part = words[head[k] : head[k] + size[k]]
-                    h = np.unique(flat.grams(part, np.zeros(len(part), int), SHINGLE)[0])
-                    if as_items:
-                        ids.extend([x["content"]] * len(h)), items.append(h), counts.extend([len(h)] * len(h))
-                    else:
-                        ids.append(x["content"]), out.append(h.tobytes())
-            if as_items:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*items, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(counts, pa.int64())], ["id", "item", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "hashes"])
+            for i, j, texts in flat.chunks(batch, 0):
+                words, doc, head, size, _, _ = paragraphs(texts)
+                _, place, asked = _places(batch.column(1).slice(i, j - i), words, doc, head, size, j - i)
+                h, first = flat.grams(words, np.repeat(np.arange(len(head)), size), SHINGLE)
+                n = size[place] - SHINGLE + 1
+                row = np.repeat(np.arange(len(place)), n)
+                h = h[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.searchsorted(first, head[place]), n)]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, row = h[new], row[new]
+                if as_items:
+                    count = np.bincount(row, minlength=len(place))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked["content"][row], pa.int64()), pa.array(h.view(np.int64)), pa.array(count[row], pa.int64())], ["id", "item", "n"])
+                else:
+                    raw, cut = h.tobytes(), np.searchsorted(row, np.arange(len(place) + 1)) * 8
+                    sets = [raw[cut[k] : cut[k + 1]] for k in range(len(place))]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked["content"], pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
 
     return run
 
@@ -140,23 +158,29 @@ def _beside(batches):
     Paragraphs are asked by (paragraph, side, component, content); by the content another text under the same id is told apart."""
     names = ["doc_id", "paragraph", "side", "component", "reach", "h"]
     for batch in batches:
-        out = {c: [] for c in names}
-        for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            words, _, head, size, _, _ = paragraphs([text.encode()])
-            fit = np.flatnonzero(size >= SHINGLE)
-            content = _contents(words, head, size)[fit].view(np.int64)
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, j, texts in flat.chunks(batch):
+            words, doc, head, size, _, _ = paragraphs(texts)
+            text, place, asked = _places(batch.column(2).slice(i, j - i), words, doc, head, size, j - i)
             up, down = flat.powers(len(words))
             total = np.concatenate([[U(0)], np.cumsum(words * up[: len(words)])])
-            for x in asked:
-                k = x["paragraph"]
-                if k >= len(fit) or content[k] != x["content"]:
-                    continue
-                begin, stop = head[fit[k]], head[fit[k]] + size[fit[k]]
-                for a, b in [(stop, stop + j) for j in REACH if stop + j <= len(words)] if x["side"] else [(begin - j, begin) for j in REACH if j <= begin]:
-                    h = flat.mixed((total[b : b + 1] - total[a : a + 1]) * down[a : a + 1]).view(np.int64)[0]
-                    for c, v in zip(names, (i, k, x["side"], x["component"], b - a, int(h))):
-                        out[c].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in names], names)
+            low, high = np.searchsorted(doc, text, "left"), np.searchsorted(doc, text, "right")
+            for reach in REACH:
+                a = np.where(asked["side"] == 1, head[place] + size[place], head[place] - reach)
+                ok = np.flatnonzero((a >= low) & (a + reach <= high))
+                a = a[ok]
+                h = flat.mixed((total[a + reach] - total[a]) * down[a]).view(np.int64)
+                out = [ids[i + text[ok]], *(asked[c][ok] for c in names[1:4]), np.full(len(ok), reach), h]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+
+
+def _with_asked(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Texts with the paragraphs asked of them. Texts are shuffled only where those are too many for a broadcast, and then only texts that are asked for."""
+    rows = texts.where("text IS NOT NULL")
+    count, numbers = lists.agg(F.count("*"), F.sum(F.size("asked"))).first()
+    if count + (numbers or 0) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lists), "doc_id")
+    return keeping(rows, lists.select("doc_id"), "doc_id", count).join(lists, "doc_id")
 
 
 def _reaching(rows: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
@@ -170,8 +194,7 @@ def _reaching(rows: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
     edges = written(edges)
     asked = rows.join(edges, "component").groupBy("doc_id").agg(F.collect_list(F.struct("paragraph", "side", "component", "content")).alias("asked"))  # paragraphs of one text
     asked = written(asked)
-    some = keeping(texts.where("text IS NOT NULL"), asked.select("doc_id"), "doc_id", asked.count()).join(asked, "doc_id")
-    beside = written(some.select("doc_id", "text", "asked").mapInArrow(_beside, "doc_id long, paragraph long, side long, component long, reach long, h long"))
+    beside = written(_with_asked(texts, asked).select("doc_id", "text", "asked").mapInArrow(_beside, "doc_id long, paragraph long, side long, component long, reach long, h long"))
     shared = written(beside.groupBy("side", "component", "reach", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     far = written(beside.join(shared, ["side", "component", "reach", "h"]).groupBy("doc_id", "paragraph", "side").agg(F.max("reach").alias("reach")))
     before, after = (far.where(F.col("side") == k).select("doc_id", F.col("paragraph").alias(c), F.col("reach").alias(f"of_{c}")) for k, c in ((0, "first"), (1, "last")))
@@ -202,8 +225,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, least_words: int = 3
     def asked(ids: DataFrame, count: int, as_items: bool) -> DataFrame:
         one = keeping(every.withColumnRenamed("content", "id"), ids, "id", count).groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("at"))
         lists = written(one.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), F.col("id").alias("content"))).alias("asked")))
-        some = keeping(texts.where("text IS NOT NULL"), lists.select("doc_id"), "doc_id", lists.count()).dropDuplicates(["doc_id"])
-        return some.join(lists, "doc_id").select("text", "asked").mapInArrow(_shingles(as_items), "id long, item long, n long" if as_items else "id long, hashes binary")
+        some = _with_asked(texts, lists).select("text", "asked")
+        # texts that share an id may hold the same paragraph under the same number
+        sets = some.mapInArrow(_shingles(as_items), "id long, item long, n long" if as_items else "id long, hashes binary")
+        return sets.dropDuplicates(["id", "item"] if as_items else ["id"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
